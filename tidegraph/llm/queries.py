@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import decontaminate, licences, mixing, repetition, tokens, urls
-from tidegraph.llm.common import table
+from tidegraph.llm import decontaminate, licences, mixing, repetition, simhash, tokens, urls
+from tidegraph.llm.common import ship, table
 
 WINDOW = 10
 TOKEN_LIMIT = 4096
@@ -48,6 +49,11 @@ FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "documents").select("doc_id", licences.scan(F.col("text")).alias("found"))
     return found.select("doc_id", F.array_join("found.licences", ",").alias("licences"), "found.allows", "found.n_known", "found.n_unmatched")
@@ -107,12 +113,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, cove
   NOT base_failed AND covered_words <= 0.3 * n_words AND NOT too_long AS kept FROM b
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+_ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op3_simhash": op3_simhash,
     "op4_licences": op4_licences,
     "op7_urls": op7_urls,
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
 }
+QUERIES = {name: _shipped(query) for name, query in _ALL.items()}
 ORACLES = {"op1_decontamination": OP1, "op4_licences": licences.oracle(), "op7_urls": OP7, "op9_mixing": mixing.ORACLE, "op10_quality": OP10}
