@@ -8,11 +8,12 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import decontaminate, licences, mixing, repetition, simhash, tokens, urls
+from tidegraph.llm import decontaminate, licences, mixing, repetition, simhash, tokens, toxicity, urls
 from tidegraph.llm.common import ship, table
 
 WINDOW = 10
 TOKEN_LIMIT = 4096
+TOXIC = 0.7
 RULES = [
     urls.Rule.site("allow", "com", "/"),
     urls.Rule.site("block", "example.com", "/en/"),
@@ -49,6 +50,14 @@ FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", (toxicity.fold(F.col("doc_id"), 3) == 1).alias("held_out"), judged(F.col("text")).alias("judged"))
+    score = F.col("judged.score")
+    return scored.select("doc_id", "held_out", score.alias("score"), (score >= TOXIC).cast("int").alias("predicted"), F.size("judged.passages").alias("n_passages"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
@@ -126,6 +135,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 _ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op4_licences": op4_licences,
     "op7_urls": op7_urls,
