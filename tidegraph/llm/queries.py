@@ -8,12 +8,13 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import decontaminate, licences, mixing, repetition, simhash, tokens, toxicity, urls
+from tidegraph.llm import decontaminate, licences, mixing, pii, repetition, simhash, tokens, toxicity, urls
 from tidegraph.llm.common import ship, table
 
 WINDOW = 10
 TOKEN_LIMIT = 4096
 TOXIC = 0.7
+KEY = "tidegraph"  # in production, a secret
 RULES = [
     urls.Rule.site("allow", "com", "/"),
     urls.Rule.site("block", "example.com", "/en/"),
@@ -68,6 +69,13 @@ def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join("found.licences", ",").alias("licences"), "found.allows", "found.n_known", "found.n_unmatched")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.with_surrogates(docs, KEY, counts="kinds")
+    kinds = [F.col("kinds")[kind].alias(f"n_{kind}") for kind in pii.PATTERNS]
+    return found.select("doc_id", "text", F.aggregate(F.map_values("kinds"), F.lit(0), lambda a, b: a + b).alias("n_entities"), *kinds)
+
+
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", urls.judge_urls(F.col("url"), RULES).alias("judged")).select("page_id", "judged.*")
 
@@ -138,6 +146,7 @@ _ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op4_licences": op4_licences,
+    "op5_pii": op5_pii,
     "op7_urls": op7_urls,
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
