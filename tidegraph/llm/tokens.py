@@ -6,8 +6,8 @@ the suffix has added. A transition finds the one token that ends with the new ch
 it, and is annotated with the number of tokens by which the count changes. States and transitions are made as texts need
 them, and start afresh beyond ``max_states``, so memory is bounded and counts stay exact.
 
-Where no token holds a space mark behind another character, counts of the segments between are independent. The map of
-a chunk of text (state before it to state after it and tokens emitted) is then constant but for the part before its
+Where no token holds a space mark behind another character, nor letters beside other characters, counts of the segments
+between are independent. The map of a chunk of text (state before it to state after it and tokens emitted) is then constant but for the part before its
 first boundary, and is kept as (head, count, tail). Such maps compose associatively; a prefix scan over the chunks of a
 text gives its count.
 
@@ -30,6 +30,8 @@ MARK = "▁"  # stands for a space in the pieces
 CHUNK = 1 << 16
 MAX_VOCABULARY = 1 << 20  # pieces; a larger model is refused, so that what is broadcast is bounded
 _START = ""
+_LETTER = r"[^\W\d_]"
+_OTHER = rf"(?:[^\w{MARK}]|[\d_])"
 
 
 def load_pieces(path: str) -> tuple[str, ...]:
@@ -56,22 +58,26 @@ class ChunkMap:
 
 
 class Transducer:
-    def __init__(self, pieces: tuple[str, ...], max_states: int = 100_000, max_words: int = 400_000) -> None:
+    def __init__(self, pieces: tuple[str, ...], max_states: int = 300_000, max_words: int = 500_000) -> None:
         self.rank = {p: i for i, p in enumerate(pieces)}
         self.alphabet = {c for p in pieces for c in p}
         self.begins = {p[:i] for p in pieces for i in range(1, len(p))}
         self.max_states, self.max_words = max_states, max_words
+        # Where no piece joins two kinds of characters in this order, the text parts there, and counts add up.
         parts = not any(MARK in p.lstrip(MARK) for p in pieces)
-        self.segment = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*|[^{MARK}\n]+" if parts and "\n" not in self.alphabet else f"{MARK}+[^{MARK}]*|[^{MARK}]+" if parts else "(?s:.+)").findall
+        mixed = re.compile(f"{_LETTER}(?!{MARK}){_OTHER}|(?!{MARK}){_OTHER}{_LETTER}").search
+        runs = f"{MARK}*(?:{_LETTER}+|{_OTHER}+)|{MARK}+" if not any(map(mixed, pieces)) else f"{MARK}+[^{MARK}]*|[^{MARK}]+"
+        self.segment = re.compile(runs if parts else "(?s:.+)").findall
         self.stays = lru_cache(1 << 16)(lambda t: len(self.merged(t)) == 1)
-        self.follows = lru_cache(1 << 18)(self._follows)
+        self.follows = lru_cache(1 << 17)(self._follows)
         self.words: dict[str, int] = {}
         self._fresh()
 
     def _fresh(self) -> None:
-        self.live = [((0, "", _START, 0),)]  # of each state: (length, suffix, last token before it, tokens since)
-        self.ids = {self.live[0]: 0}
-        self.moves: list[dict[str, tuple[int, int]]] = [{}]
+        self.parts: dict[tuple, tuple] = {}  # what states are made of, each once
+        # A state is a dict of char: (state, tokens), with what it stands for under "": (length, suffix, last token before it, tokens since), ...
+        self.root: dict = {"": ((0, "", _START, 0),)}
+        self.states = {self.root[""]: self.root}
 
     def merged(self, text: str) -> list[str]:
         """Tokens by merging the best pair, the leftmost of equal ones, until no pair merges."""
@@ -88,45 +94,46 @@ class Transducer:
     def cost(self, token: str) -> int:
         return 1 if token in self.rank else len(token.encode("utf-8", "surrogatepass"))
 
-    def _move(self, state: int, char: str) -> tuple[int, int]:
+    def _move(self, state: dict, char: str) -> tuple[dict, int]:
+        """Compiles a transition."""
         if char not in self.alphabet:  # bytes; nothing merges with it
-            return self.moves[state].setdefault(char, (0, len(char.encode("utf-8", "surrogatepass"))))
-        for _, suffix, last, since in self.live[state]:
+            return state.setdefault(char, (self.root, len(char.encode("utf-8", "surrogatepass"))))
+        for _, suffix, last, since in state[""]:
             token = suffix + char
             if (token in self.rank or not suffix) and self.stays(token) and self.follows(last, token):
                 more = self.cost(token) - since
                 break
-        live = ((0, "", token, 0), *((n + 1, s + char, last, since + more) for n, s, last, since in self.live[state] if s + char in self.begins))
-        if live not in self.ids:
-            if len(self.ids) >= self.max_states:
+        once = self.parts.setdefault
+        parts = [(0, "", token, 0), *((n + 1, s + char, last, since + more) for n, s, last, since in state[""] if s + char in self.begins)]
+        live = tuple(once(p, p) for p in parts)
+        if live not in self.states:
+            if len(self.states) >= self.max_states:
                 self._fresh()
-                self.ids[live] = 1
-                self.live.append(live)
-                self.moves.append({})
-                return 1, more
-            self.ids[live] = len(self.live)
-            self.live.append(live)
-            self.moves.append({})
-        return self.moves[state].setdefault(char, (self.ids[live], more))
+            self.states[live] = {"": live}
+        return state.setdefault(char, (self.states[live], more))
 
     def run(self, segment: str) -> int:
-        state = count = 0
+        state, count = self.root, 0
         for char in segment:
-            state, more = self.moves[state].get(char) or self._move(state, char)
-            count += more
+            move = state.get(char) or self._move(state, char)
+            state = move[0]
+            count += move[1]
         return count
 
     def segments(self, found: list[str]) -> int:
-        words, total = self.words, 0
-        for s in found:
-            n = words.get(s)
-            if n is None:
-                n = self.run(s)
-                if len(s) <= 48:
-                    if len(words) >= self.max_words:
-                        words.clear()
-                    words[s] = n
-            total += n
+        words = self.words
+        counts = list(map(words.get, found))
+        total = sum(filter(None, counts))
+        if None in counts:
+            if len(words) >= self.max_words:
+                words.clear()
+            for s in [s for s, n in zip(found, counts, strict=True) if n is None]:
+                n = words.get(s)
+                if n is None:
+                    n = self.run(s)
+                    if len(s) <= 48:
+                        words[s] = n
+                total += n
         return total
 
     def chunk(self, text: str) -> ChunkMap:
