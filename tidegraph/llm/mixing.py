@@ -53,14 +53,28 @@ def source_targets(sizes: DataFrame, per_bucket: int) -> DataFrame:
 
 def mix(docs: DataFrame, quality: DataFrame | None = None, seed: int = 42, per_bucket: int = 200, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken of each row of docs. quality: doc_id, quality (the largest counts)."""
-    sizes = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    return _taken(rows, quality, seed, per_bucket).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed(docs: DataFrame, quality: DataFrame | None = None, seed: int = 42, per_bucket: int = 200, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of docs that the mix takes, with size, taken and copies; a document without words is taken once if any epoch is complete."""
+    held = written(docs.withColumn("__rid", F.monotonically_increasing_id()))
+    rows = held.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), "__rid")
+    taken = _taken(rows, quality, seed, per_bucket).where("copies > 0").select("__rid", "size", "taken", "copies")
+    new = [c for c in ("size", "taken", "copies") if c not in docs.columns]
+    return held.join(taken.select("__rid", *new), "__rid").select(*docs.columns, *new)
+
+
+def _taken(rows: DataFrame, quality: DataFrame | None, seed: int, per_bucket: int) -> DataFrame:
+    """rows (doc_id, source, size, ...) and source_size, target, taken, copies."""
     if quality is not None:
         best = quality.groupBy(F.col("doc_id").alias("of")).agg(F.max("quality").alias("quality"))
-        sizes = sizes.join(best, F.col("doc_id") == F.col("of"), "left").drop("of")
+        rows = rows.join(best, F.col("doc_id") == F.col("of"), "left").drop("of")
         weight = F.coalesce(*(F.when(F.col("quality") == q, F.lit(w)) for q, w in WEIGHTS.items()), F.lit(1.0))
     else:
         weight = F.lit(1.0)
-    sizes = written(sizes.select("doc_id", "source", "size", (-F.log(uniform(F.col("doc_id"), seed)) / weight).alias("key")))
+    sizes = written(rows.withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / weight).drop("quality"))
     targets = written(source_targets(sizes, per_bucket).coalesce(1))
     keyed = sizes.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "source_size", "target", "buckets")
     keyed = keyed.withColumn("bucket", F.floor(F.col("buckets") * (1 - F.exp(-LEAST * F.col("key")))))
@@ -76,8 +90,8 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, seed: int = 42, per_b
         .withColumn("before", F.col("below") + F.coalesce(F.sum("size").over(near), F.lit(0)))
         .withColumn("epochs", epochs)
     )
-    taken = F.col("size") * (F.col("epochs") + (2 * F.col("before") + F.col("size") <= 2 * rest).cast("long"))
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    copies = F.col("epochs") + (2 * F.col("before") + F.col("size") <= 2 * rest).cast("long")
+    return placed.withColumn("copies", copies.cast("long")).withColumn("taken", (F.col("size") * F.col("copies")).cast("long"))
 
 
 ORACLE = r"""
