@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegraph.sources.shared import drop_written, shared_folder, written
+
+__all__ = ["drop_written", "shared_folder", "written"]
+
 #: Maps A-Z to a-z and leaves every other byte of a UTF-8 text alone.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: As LOWER, and every ASCII byte that is neither a digit nor a letter becomes a space.
@@ -23,46 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='tidegraph-')}"
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with no lineage, kept by checkpoint() in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def written(df: DataFrame, codec: str = "zstd", **partitions: int) -> DataFrame:
-    """The same rows as a Parquet table in the shared folder: no lineage, a size that the planner knows. Goes as the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidegraph-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended: its folder goes with it
-        return
-
-
-def drop_written(df: DataFrame) -> None:
-    """Deletes the files of a table that written() made and nothing reads any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _remove(df.sparkSession, path)
-
-
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import decontaminate, licences, mixing, pii, repetition, simhash, tokens, toxicity, urls
+from tidegraph.llm import decontaminate, licences, lm, mixing, pii, repetition, simhash, tokens, toxicity, urls
 from tidegraph.llm.common import ship, table
 
 WINDOW = 10
@@ -76,6 +76,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.aggregate(F.map_values("kinds"), F.lit(0), lambda a, b: a + b).alias("n_entities"), *kinds)
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", urls.judge_urls(F.col("url"), RULES).alias("judged")).select("page_id", "judged.*")
 
@@ -147,6 +151,7 @@ _ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_licences": op4_licences,
     "op5_pii": op5_pii,
+    "op6_lm_scores": op6_lm_scores,
     "op7_urls": op7_urls,
     "op8_token_counts": op8_token_counts,
     "op9_mixing": op9_mixing,
