@@ -1,4 +1,4 @@
-"""What the text operators share: reading tables, the shared folder, cutting lineage, byte-wise words."""
+"""What the text operators share: reading tables, sending the package to executors, byte-wise words."""
 
 from __future__ import annotations
 
@@ -17,20 +17,14 @@ __all__ = ["drop_written", "shared_folder", "written"]
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: As LOWER, and every ASCII byte that is neither a digit nor a letter becomes a space.
 LOWER_ALNUM = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
-#: White space that separates words: space, and U+0009 to U+000D.
-SPACE = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ascii_lower(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def word_count(text: Column) -> Column:
-    """Number of words between white space (SPACE); 0 for null."""
+    """Number of words between white space (U+0020, U+0009 to U+000D); 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 

@@ -1,13 +1,18 @@
 """Near-duplicate removal: SimHash candidates by covering masks, an exact similarity check, one document of each group.
 
 Texts are compared by the sets of their runs of five words. A 64-bit fingerprint of a text is cut into halves, and each
-half has covering masks: with radii 6 and 5, whatever differs in 12 bits or less (a SimHash similarity of 0.8 or more)
-differs in at most 6 bits of the one half or 5 of the other, and so meets in some table. Pairs that meet and differ in
-``SLACK`` bits or less are candidates, each emitted by the first table in which it meets; their sets then give the exact
-Jaccard similarity. Fingerprints that are equal count as one text. Groups are connected components.
-
-Buckets of over BUCKET fingerprints are cut into blocks, and blocks are compared with each other in tasks of their own:
-nothing is left out, and no task holds more than two blocks.
+half has covering masks of radius 6: whatever differs in 13 bits or less (a SimHash similarity of 0.8 or more) differs in at
+most 6 bits of some half, and so meets in some table. Pairs that meet and differ in
+``SLACK`` bits or less, and in ``WIDE`` or less of 128 with a second fingerprint, are candidates; the exact Jaccard similarity
+of their sets decides. Groups are connected components.
+
+A group of very many near copies has a number of pairs that grows with its square, so not all pairs are emitted. Fingerprints
+within ``TIGHT`` bits, and so equal ones, count as similar without a look at the sets: what they connect is found first,
+without pairs. Then a round over a few of the tables, and one over all, emit no pair of a component that is known, and of
+the candidates of a task only a forest that connects them, close pairs first. A link is missed where in all tables both its
+texts have closer candidates that connect them but are less similar than they seem; the groups of the test tables are
+those of an exact join. Buckets of over BUCKET fingerprints are cut into blocks, and blocks are compared with each other
+in tasks of their own, so no task holds more than two blocks.
 
 Texts are not shuffled as a whole: which of them take part in a join is tested against a bitmap of fixed size, and only
 those that may (and the few that fall on a set bit by chance) are joined by their key.
@@ -27,11 +32,13 @@ from pyspark.sql import functions as F
 
 from tidegraph.llm.common import written
 from tidegraph.llm.graph import components
-from tidegraph.llm.simhash import covering_masks, fingerprint, shingle_hashes
+from tidegraph.llm.simhash import covering_masks, fingerprint_of, link_prints, shingle_hashes
 
-RADII = ((range(32), 6), (range(32, 64), 5))
-SLACK = 16
-BUCKET = 4096
+RADII = ((range(32), 6), (range(32, 64), 6))
+SLACK, WIDE, TIGHT = 16, 30, 2
+SCOUTS = 10  # tables of the first round
+ALIKE = 0.8  # of the sizes of two sets, the smaller over the larger
+BUCKET = 16_384
 BITMAP = 1 << 26  # bits
 
 
@@ -39,17 +46,23 @@ def _halves() -> list[int]:
     return [m for positions, radius in RADII for m in covering_masks(radius, positions)]
 
 
-def _pairs_within(groups: np.ndarray, prints: np.ndarray, slack: int, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Rows i < j of one group whose fingerprints differ in slack bits at most; if ``apart``, only of different values of it. Groups are contiguous."""
+def _pairs_within(groups: np.ndarray, prints: np.ndarray, seconds: np.ndarray, known: np.ndarray, sizes: np.ndarray, slack: int, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i < j of one group that are candidates and not known to be connected; if ``apart``, only of different values of it. Groups are contiguous."""
     left = np.searchsorted(groups, groups, side="right") - np.arange(len(groups))
     rows, step = np.flatnonzero(left > 1), 1
     first, second = [], []
     while len(rows):
-        near = np.bitwise_count((prints[rows] ^ prints[rows + step]).view(np.uint64)) <= slack
-        if apart is not None:
-            near &= apart[rows] != apart[rows + step]
-        first.append(rows[near])
-        second.append(rows[near] + step)
+        differ = np.bitwise_count((prints[rows] ^ prints[rows + step]).view(np.uint64))
+        i = rows[differ <= slack]
+        if len(i):
+            j = i + step
+            near = differ[differ <= slack] + np.bitwise_count((seconds[i] ^ seconds[j]).view(np.uint64)) <= WIDE
+            near &= (known[i] == 0) | (known[i] != known[j])
+            near &= np.minimum(sizes[i], sizes[j]) >= ALIKE * np.maximum(sizes[i], sizes[j])
+            if apart is not None:
+                near &= apart[i] != apart[j]
+            first.append(i[near])
+            second.append(j[near])
         step += 1
         rows = rows[left[rows] > step]
     none = np.empty(0, np.int64)
@@ -65,28 +78,79 @@ def _first_meeting(t: np.ndarray, a: np.ndarray, b: np.ndarray, masks: np.ndarra
     return first == t
 
 
+_FOUND = "a long, b long, large short, second long, known int, size int"
+
+
+def _found_batch(a: np.ndarray, b: np.ndarray, large: np.ndarray, second: np.ndarray, known: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(large, pa.int16()), pa.array(second, pa.int64()), pa.array(known, pa.int32()), pa.array(size, pa.int32())]
+    return pa.record_batch(columns, names=["a", "b", "large", "second", "known", "size"])
+
+
+class Forest:
+    """Which fingerprints, or known components, a task has connected by candidates so far."""
+
+    def __init__(self) -> None:
+        self.above: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        above = self.above
+        while (y := above.get(x, x)) != x:
+            above[x] = x = above.get(y, y)
+        return x
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the links, one after the other, join what was apart."""
+        new = np.zeros(len(a), bool)
+        for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            x, y = self.root(x), self.root(y)
+            if x != y:
+                self.above[x] = y
+                new[k] = True
+        return new
+
+
+def _candidate_batches(t: np.ndarray, groups: np.ndarray, prints: np.ndarray, seconds: np.ndarray, known: np.ndarray, sizes: np.ndarray, masks: np.ndarray, slack: int, forest: Forest, apart: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    i, j = _pairs_within(groups, prints, seconds, known, sizes, slack, apart)
+    keep = _first_meeting(t[i], prints[i], prints[j], masks)
+    i, j = i[keep], j[keep]
+    distance = np.bitwise_count((prints[i] ^ prints[j]).view(np.uint64)).astype(int) + np.bitwise_count((seconds[i] ^ seconds[j]).view(np.uint64))
+    order = np.argsort(distance, kind="stable")
+    i, j = i[order], j[order]
+    node = np.where(known, known, prints)
+    new = forest.join(node[i], node[j])
+    a, b = prints[i][new], prints[j][new]
+    zero = np.zeros(len(a), np.int64)
+    yield _found_batch(np.minimum(a, b), np.maximum(a, b), zero - 1, zero, zero, zero)
+
+
+def _starts(columns: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])])
+
+
 def _emit(masks: np.ndarray, slack: int):
-    """Of rows t, key, print (and block), sorted by all but print: candidate pairs (a, b); members (a, b = a) of buckets that are too large, with their table."""
+    """Of rows t, key, print, second, known, size sorted by the first two: candidate pairs (a, b), and the members of buckets that are too large, with their table."""
 
-    def batch(a: np.ndarray, b: np.ndarray, large: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(large, pa.int32())], names=["a", "b", "large"])
+    def beyond_bucket(c: list[np.ndarray]) -> pa.RecordBatch:
+        return _found_batch(c[2], c[2], c[0], c[3], c[4], c[5])
 
-    def pairs(t: np.ndarray, groups: np.ndarray, prints: np.ndarray, side: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        i, j = _pairs_within(groups, prints, slack, side)
-        for at in range(0, len(i), 1 << 16):
-            x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-            keep = _first_meeting(t[x], prints[x], prints[y], masks)
-            a, b = prints[x][keep], prints[y][keep]
-            yield batch(np.minimum(a, b), np.maximum(a, b), np.full(len(a), -1, np.int32))
+    forest = Forest()
+
+    def whole(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if len(c[0]):
+            groups = np.cumsum(_starts(c[:2]))
+            large = np.bincount(groups)[groups] > BUCKET
+            if large.any():
+                yield beyond_bucket([x[large] for x in c])
+            yield from _candidate_batches(c[0][~large], groups[~large], *(x[~large] for x in c[2:]), masks, slack, forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int16), np.empty(0, np.int64), np.empty(0, np.int64)]
+        held = [np.empty(0, k) for k in (np.int16, np.int64, np.int64, np.int64, np.int32, np.int32)]
         beyond = None  # the bucket whose first members have been passed on as too large
         for part in batches:
             held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, part.columns, strict=True)]
             if beyond is not None:
                 n = int(((held[0] == beyond[0]) & (held[1] == beyond[1])).sum())
-                yield batch(held[2][:n], held[2][:n], held[0][:n].astype(np.int32))
+                yield beyond_bucket([c[:n] for c in held])
                 held = [c[n:] for c in held]
                 beyond = None if len(held[0]) else beyond
             if len(held[0]):
@@ -95,77 +159,75 @@ def _emit(masks: np.ndarray, slack: int):
                 held = [c[last:] for c in held]
                 if len(held[0]) > BUCKET:
                     beyond = (held[0][0], held[1][0])
-                    yield batch(held[2], held[2], held[0].astype(np.int32))
+                    yield beyond_bucket(held)
                     held = [c[:0] for c in held]
         yield from whole(held)
 
-    def whole(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        t, key, prints = columns
-        if not len(t):
-            return
-        new = np.concatenate([[True], (t[1:] != t[:-1]) | (key[1:] != key[:-1])])
-        groups = np.cumsum(new)
-        sizes = np.bincount(groups)[groups]
-        large = sizes > BUCKET
-        if large.any():
-            yield batch(prints[large], prints[large], t[large].astype(np.int32))
-        small = ~large
-        yield from pairs(t[small], groups[small], prints[small], None)
-
     return run
 
 
 def _emit_blocks(masks: np.ndarray, slack: int):
-    """Of rows t, key, i, j, block, print sorted by the first four: candidate pairs within two blocks. A pair of one block is emitted where i = j only."""
+    """Of rows t, key, i, j, print, second, known, size, block sorted by the first four: candidate pairs of two blocks; those within one block where i = j."""
+
+    forest = Forest()
+
+    def whole(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if len(c[0]):
+            groups = np.cumsum(_starts(c[:4]))
+            for own in (True, False):
+                rows = np.flatnonzero((c[2] == c[3]) == own)
+                if len(rows):
+                    yield from _candidate_batches(c[0][rows], groups[rows], *(x[rows] for x in c[4:8]), masks, slack, forest, None if own else c[8][rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held: list[np.ndarray] = []
         for part in batches:
-            columns = [c.to_numpy() for c in part.columns]
-            held = columns if held is None else [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
-            same = np.logical_and.reduce([c == c[-1] for c in held[:4]])
-            last = len(same) - int(same.sum())
-            if last:
-                yield from whole([c[:last] for c in held])
-                held = [c[last:] for c in held]
-        if held is not None:
+            held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, part.columns, strict=True)] if held else [c.to_numpy() for c in part.columns]
+            last = len(held[0]) - int(np.logical_and.reduce([c == c[-1] for c in held[:4]]).sum())
+            yield from whole([c[:last] for c in held])
+            held = [c[last:] for c in held]
+        if held:
             yield from whole(held)
 
-    def whole(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if not len(c[0]):
-            return
-        new = np.concatenate([[True], np.logical_or.reduce([x[1:] != x[:-1] for x in c[:4]])])
-        groups = np.cumsum(new)
-        for own in (True, False):
-            rows = np.flatnonzero((c[2] == c[3]) == own)
-            i, j = _pairs_within(groups[rows], c[5][rows], slack, None if own else c[4][rows])
-            x, y = rows[i], rows[j]
-            keep = _first_meeting(c[0][x], c[5][x], c[5][y], masks)
-            a, b = c[5][x][keep], c[5][y][keep]
-            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
     return run
 
 
-def candidates(prints: DataFrame, slack: int = SLACK) -> DataFrame:
-    """a < b: the pairs of distinct fingerprints (column print) that meet under a mask and differ in slack bits at most."""
-    masks = _halves()
+def candidates(prints: DataFrame, every: int = 1, slack: int = SLACK) -> DataFrame:
+    """a < b: candidate pairs of distinct fingerprints, in every ``every``-th table: of each task's candidates a forest that connects them, close pairs first. prints: print, second, known (0, or the number of the component that is known), size of the set."""
+    masks = _halves()[::every]
     tables = np.array(masks, np.int64)
     keyed = F.explode(F.array(*(F.struct(F.lit(i).cast("short").alias("t"), F.col("print").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks))))
-    rows = prints.select("print", keyed.alias("x")).select("x.t", "x.key", "print")
-    found = written(rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_emit(tables, slack), "a long, b long, large int"))
+    rows = prints.select("print", "second", "known", "size", keyed.alias("x")).select("x.t", "x.key", "print", "second", "known", "size")
+    found = written(rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_emit(tables, slack), _FOUND))
     pairs = found.where("large < 0").select("a", "b")
-    large = found.where("large >= 0").select(F.col("a").alias("print"), F.col("large").alias("t"))
+    large = found.where("large >= 0").select(F.col("a").alias("print"), F.col("large").alias("t"), "second", "known", "size")
     if large.isEmpty():
         return pairs
-    mask = F.element_at(F.array(*map(F.lit, masks)), F.col("t") + 1)
-    large = large.withColumn("key", F.col("print").bitwiseAND(mask))
+    large = large.withColumn("key", F.col("print").bitwiseAND(F.element_at(F.array(*map(F.lit, masks)), F.col("t") + 1)))
     blocks = large.groupBy("t", "key").agg(F.ceil(F.count("*") / (BUCKET // 2)).cast("int").alias("n"))
     placed = large.join(blocks, ["t", "key"]).withColumn("block", F.pmod(F.xxhash64("print"), F.col("n")).cast("int"))
-    each = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
-    dealt = placed.select("t", "key", "block", "print", each).select("t", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "print")
-    more = dealt.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j").mapInArrow(_emit_blocks(tables, slack), "a long, b long")
-    return pairs.unionAll(more.distinct())
+    dealt = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    dealt = dealt.select("t", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "print", "second", "known", "size", "block")
+    more = dealt.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j").mapInArrow(_emit_blocks(tables, slack), _FOUND)
+    return pairs.unionAll(more.select("a", "b").distinct())
+
+
+def fingerprints(text: Column, words: int) -> Column:
+    """struct(print, second, size): two fingerprints of the runs of words, the second of hashes that are mixed once more, and how many distinct runs there are."""
+
+    @F.arrow_udf("print long, second long, size int")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            prints, seconds, sizes = [], [], []
+            for t in texts:
+                hashes = shingle_hashes(t.as_py(), words)
+                prints.append(fingerprint_of(hashes))
+                mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
+                seconds.append(fingerprint_of((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)))
+                sizes.append(len(np.unique(hashes)))
+            yield pa.StructArray.from_arrays([pa.array(prints, pa.int64()), pa.array(seconds, pa.int64()), pa.array(sizes, pa.int32())], names=["print", "second", "size"])
+
+    return run(text)
 
 
 def bitmap_of(keys: DataFrame, name: str, bits: int = BITMAP) -> list:
@@ -226,25 +288,37 @@ def _selected(held: DataFrame, wanted: DataFrame) -> DataFrame:
     return held.where(maybe_in(held, "__rid", bitmap_of(wanted, "__rid"))).join(wanted, "__rid")
 
 
+def _labelled(first: DataFrame, groups: DataFrame) -> DataFrame:
+    """first with known: 0, or a number for the component of the fingerprint."""
+    number = F.xxhash64("root").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").bitwiseOR(F.lit(1))
+    return first.join(groups, "print", "left").select("print", "second", F.when(F.col("root").isNull(), 0).otherwise(number).alias("known"), "size")
+
+
+def _verified(held: DataFrame, first: DataFrame, near: DataFrame, words: int, similarity: float, text: str) -> DataFrame:
+    """The pairs of near whose sets have the similarity. Sets are made of the texts that are asked for only."""
+    ends = near.select(F.explode(F.array("a", "b")).alias("print")).distinct()
+    wanted = written(first.join(ends, "print").select("print", F.col("first.rid").alias("__rid")))
+    sets = written(_selected(held.select("__rid", F.col(text).alias("text")), wanted).select("print", shingle_set(F.col("text"), words).alias("set")))
+    of = lambda end: sets.select(F.col("print").alias(end), F.col("set").alias(f"set_{end}"))
+    return near.join(of("a"), "a").join(of("b"), "b").where(jaccard(F.col("set_a"), F.col("set_b")) >= similarity).select("a", "b")
+
+
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of texts that are connected by a similarity of at least ``similarity``."""
-    marked = docs.withColumn("__rid", F.monotonically_increasing_id()).withColumn("__print", fingerprint(F.col(text), words))
+    marked = docs.withColumn("__rid", F.monotonically_increasing_id()).withColumn("__prints", fingerprints(F.col(text), words))
     held = written(marked)
-    ids = held.select("__rid", F.col("__print").alias("print"), F.struct(F.col(doc_id).isNull().alias("no"), F.col(doc_id).alias("id"), F.col("__rid").alias("rid")).alias("order"))
-    first = written(ids.groupBy("print").agg(F.min("order").alias("first")))
-    near = written(candidates(first.select("print")))
-    ends = near.select(F.explode(F.array("a", "b")).alias("print")).distinct()
-    wanted = first.join(ends, "print").select("print", F.col("first.rid").alias("__rid"))
-    sets = written(_selected(held.select("__rid", F.col(text).alias("text")), written(wanted)).select("print", shingle_set(F.col("text"), words).alias("set")))
-    of = lambda end: sets.select(F.col("print").alias(end), F.col("set").alias(f"set_{end}"), F.octet_length("set").alias(f"n_{end}"))
-    sized = near.join(of("a").drop("set_a"), "a").join(of("b").drop("set_b"), "b")
-    possible = sized.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b")
-    links = possible.join(of("a").drop("n_a"), "a").join(of("b").drop("n_b"), "b").where(jaccard(F.col("set_a"), F.col("set_b")) >= similarity).select("a", "b")
-    roots = components(links).withColumnRenamed("node", "print")
-    grouped = first.join(roots, "print", "left").select(F.coalesce("root", "print").alias("root"), "first")
+    ids = held.select("__rid", "__prints.*", F.struct(F.col(doc_id).isNull().alias("no"), F.col(doc_id).alias("id"), F.col("__rid").alias("rid")).alias("order"))
+    first = written(ids.groupBy("print").agg(F.min("order").alias("first"), F.min_by(F.struct("second", "size"), "order").alias("x")).select("print", "first", "x.*"))
+    tight = written(components(link_prints(first.select("print"), TIGHT)).withColumnRenamed("node", "print"))
+    known, groups = tight, tight
+    for every in (len(_halves()) // SCOUTS, 1):
+        near = written(candidates(_labelled(first, groups), every))
+        verified = written(_verified(held, first, near, words, similarity, text))
+        known = known.select("print", "root").unionAll(verified.select(F.col("a").alias("print"), F.col("b").alias("root")))
+        groups = written(components(known, "print", "root").withColumnRenamed("node", "print"))
+    grouped = first.join(groups, "print", "left").select(F.coalesce("root", "print").alias("root"), "first")
     stays = grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("__rid"))
     goes = written(ids.select("__rid").join(stays, "__rid", "left_anti"))
-    suspect = maybe_in(held, "__rid", bitmap_of(goes, "__rid"))
-    tested = held.withColumn("__suspect", suspect)
+    tested = held.withColumn("__suspect", maybe_in(held, "__rid", bitmap_of(goes, "__rid")))
     kept = tested.where("NOT __suspect").unionByName(tested.where("__suspect").join(goes, "__rid", "left_anti").select(*tested.columns))
     return kept.select(*docs.columns)

@@ -19,6 +19,7 @@ component; a null id is left out of the smallest ids. An empty table gives an em
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -66,10 +67,25 @@ def fingerprint(text: Column, words: int = 3) -> Column:
     return run(text)
 
 
+@lru_cache
+def position_vectors(n: int, radius: int) -> list[int]:
+    """Non-zero vectors of radius + 1 bits for n positions, such that no mask keeps few positions: all of them in turn where there are enough
+    positions, else the best of a fixed number of seeded choices."""
+    some = (1 << radius + 1) - 1
+    if n >= some:
+        return [i % some + 1 for i in range(n)]
+    rng = np.random.default_rng(radius)
+    parity = np.bitwise_count(np.arange(1, some + 1)[:, None] & np.arange(1, some + 1)[None, :]) & 1
+    tried = [rng.choice(some, n, replace=False) for _ in range(3000)]
+    if n <= 1 << radius:
+        tried.append(2 * np.arange(n))  # the odd vectors: a first-order Reed-Muller code
+    return (max(tried, key=lambda v: parity[:, v].sum(1).min()) + 1).tolist()
+
+
 def covering_masks(radius: int, positions: range = range(BITS)) -> list[int]:
     """Masks (signed 64-bit) such that any two fingerprints that differ at no more than ``radius`` of the positions agree under one."""
     n = (1 << radius + 1) - 1
-    vectors = {p: i % n + 1 for i, p in enumerate(positions)}
+    vectors = dict(zip(positions, position_vectors(len(positions), radius), strict=True))
     masks = [sum(1 << p for p, m in vectors.items() if (m & v).bit_count() & 1) for v in range(1, n + 1)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 

@@ -34,6 +34,7 @@ from tidegraph.llm.common import text_bytes, written
 LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 PREFIXES = (4, 6, 8)
 BEST = 5
+NOTABLE = 0.1
 SIGNIFICANT = 2.5  # of lambda * S before the length of the text is taken into account
 PASSAGE_E = 0.01
 SCHEMA = "score double, passages array<struct<first_word:int,last_word:int,e_value:double>>"
@@ -140,8 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, strength
     total = counts.agg(F.sum("clean"), F.sum("toxic")).first()
     if not total[0] or not total[1]:
         return Model({}, drift)
-    # Bounded by the sample: features of one document alone would hardly move their prior.
-    table = counts.where("clean + toxic > 1").toArrow()
+    # Bounded by the sample: features of one or two documents alone would hardly move their prior.
+    table = counts.where("clean + toxic > 2").toArrow()
     features = {f: (c, t) for f, c, t in zip(table["feature"].to_pylist(), table["clean"].to_pylist(), table["toxic"].to_pylist(), strict=True)}
     share = total[1] / (total[0] + total[1])
     model = Model(_log_odds(features, share, strength), drift)
@@ -150,19 +151,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, strength
 
 
 def _log_odds(features: dict[bytes, tuple[int, int]], share: float, strength: float) -> dict[bytes, float]:
-    rates: dict[bytes, float] = {}
-
-    def rate(feature: bytes) -> float:
-        if feature not in rates:
-            word = feature[1:] if feature[:1] == b"=" else feature
-            above = [f for f in chain(word) if f != feature and len(f) < len(feature)] if feature[:1] != b"=" else chain(word)[:-1]
-            before = rate(above[-1]) if above else share
-            c, t = features.get(feature, (0, 0))
-            rates[feature] = (t + strength * before) / (c + t + strength)
-        return rates[feature]
-
+    """Scores of the features that differ from the one before them in their chain by NOTABLE at least; others have its score."""
     logit = lambda p: math.log(p / (1 - p))
-    return {f: logit(rate(f)) - logit(share) for f in features}
+    scores: dict[bytes, float] = {}
+    rates: dict[bytes, float] = {}
+    # Shorter prefixes first, whole words last: what a feature refines is there before it.
+    for feature in sorted(features, key=lambda f: (f[:1] == b"=", len(f))):
+        above = chain(feature[1:])[:-1] if feature[:1] == b"=" else [p for p in chain(feature)[:-1] if len(p) < len(feature)]
+        before = next((rates[f] for f in reversed(above) if f in rates), share)
+        clean, toxic = features[feature]
+        rate = (toxic + strength * before) / (clean + toxic + strength)
+        if abs(logit(rate) - logit(before)) >= NOTABLE:
+            rates[feature] = rate
+            scores[feature] = logit(rate) - logit(share)
+    return scores
 
 
 def _rate(rows: DataFrame, model: Model) -> float:
