@@ -413,6 +413,29 @@ def _(s, d):
     return feats.common_neighbours(txn_events(s, d), edges(s, d))
 
 
+@query("mt_lagged_motifs", f"""WITH {LAST}, c2 AS (SELECT a.day_idx, a.src AS node, count(*) AS n FROM ed a JOIN ed b ON a.day_idx = b.day_idx AND a.src = b.dst AND a.dst = b.src GROUP BY ALL),
+  c3 AS (SELECT a.day_idx, a.src AS node, count(*) AS n FROM ed a JOIN ed b ON a.day_idx = b.day_idx AND a.dst = b.src JOIN ed c ON c.day_idx = b.day_idx AND b.dst = c.src AND c.dst = a.src GROUP BY ALL),
+  m AS (SELECT st.day_idx, st.node, coalesce(c2.n, 0) AS two, coalesce(c3.n, 0) AS three, CASE WHEN st.day_idx > 0 THEN st.out_degree - coalesce(p.out_degree, 0) END AS burst
+    FROM st LEFT JOIN c2 ON c2.day_idx = st.day_idx AND c2.node = st.node LEFT JOIN c3 ON c3.day_idx = st.day_idx AND c3.node = st.node LEFT JOIN st p ON p.day_idx = st.day_idx - 1 AND p.node = st.node)
+  SELECT ev.tx_id, a.two AS src_cycle_2hop, b.two AS dst_cycle_2hop, a.three AS src_cycle_3hop, b.three AS dst_cycle_3hop, a.burst AS src_fanout_burst, b.burst AS dst_fanout_burst
+  FROM ev LEFT JOIN m a ON a.day_idx = ev.day_idx - 1 AND a.node = ev.src_node LEFT JOIN m b ON b.day_idx = ev.day_idx - 1 AND b.node = ev.dst_node""")
+def _(s, d):
+    joined = feats.lagged(txn_events(s, d), feats.motif_stats(edges(s, d)), ["cycle_2hop", "cycle_3hop", "fanout_burst"])
+    return joined.select("tx_id", *(f"{e}_{c}" for c in ("cycle_2hop", "cycle_3hop", "fanout_burst") for e in feats.ENDS))
+
+
+@query("sc_lagged_structure", f"""WITH {LAST}, {o.PAIRS}, c AS (SELECT day_idx, node, out_degree / greatest(count(*) OVER (PARTITION BY day_idx) - 1, 1)::DOUBLE AS oc FROM st), dg AS (SELECT day_idx, node, count(*) AS k FROM un GROUP BY ALL),
+  x AS (SELECT c.day_idx, c.node, oc, k FROM c JOIN dg USING (day_idx, node))
+  SELECT ev.tx_id, round(a.oc, 6) AS src_out_degree_centrality, round(b.oc, 6) AS dst_out_degree_centrality, a.k AS src_ego_size, b.k AS dst_ego_size, (ev.day_idx = 0)::INTEGER AS is_cold_start
+  FROM ev LEFT JOIN x a ON a.day_idx = ev.day_idx - 1 AND a.node = ev.src_node LEFT JOIN x b ON b.day_idx = ev.day_idx - 1 AND b.node = ev.dst_node""")
+def _(s, d):
+    e = edges(s, d)
+    stats = feats.centrality(graph.node_stats(e)).join(feats.ego(e), ["day_idx", "node"])
+    joined = feats.lagged(txn_events(s, d), stats, ["out_degree_centrality", "ego_size"])
+    columns = [f"{end}_{c}" for c in ("out_degree_centrality", "ego_size") for end in feats.ENDS]
+    return rounded(joined.select("tx_id", *columns, (F.col("day_idx") == 0).cast("int").alias("is_cold_start")), "src_out_degree_centrality", "dst_out_degree_centrality")
+
+
 # Row-local features -----------------------------------------------------------------------------------------------------
 
 
@@ -598,6 +621,13 @@ def _(s, d):
     return rounded(comparison(s, d).drop("recall_lo", "recall_hi"), "recall")
 
 
+@query("ev8_compare_arms", f"WITH {ARMS_SQL} SELECT ar.arm, coalesce(typology, 'UNANNOTATED') AS typology, count(*) AS n_positives, count(*) FILTER (score >= CASE ar.arm WHEN 'E1' THEN 0.9 ELSE 0.8 END) AS n_detected, count(DISTINCT attempt_id) AS n_attempts FROM ar LEFT JOIN ty USING (tx_id) WHERE label = 1 GROUP BY ALL")
+def _(s, d):
+    own = {"E1": 0.9, "E2": 0.8}
+    limits = {a: s.range(1).select(F.lit(t).alias("threshold")) for a, t in own.items()}
+    return ev.compare_arms({a: (x, limits[a]) for a, x in arms(s, d).items()}, event_typology(txn_events(s, d))).drop("recall", "recall_lo", "recall_hi")
+
+
 POOL = "coalesce(sum({c}) FILTER (arm = '{a}' AND typology {t}), 0)::BIGINT AS {n}"
 STRUCT = "IN ('CYCLE','FAN-OUT','FAN-IN','SCATTER-GATHER','GATHER-SCATTER','BIPARTITE')"
 SLO, SHI = o.wilson("struct_graph", "struct_n")
