@@ -164,6 +164,14 @@ class Transducer:
 _made: dict[int, Transducer] = {}
 
 
+def compiled(key: int, pieces: tuple[str, ...]) -> Transducer:
+    """The transducer of a worker, which keeps what it has compiled for its next tasks. A function of the module, as the module's variables are copied into what a task is sent."""
+    if key not in _made:
+        _made.clear()
+        _made[key] = Transducer(pieces)
+    return _made[key]
+
+
 def token_counter(spark: SparkSession, model_path: str):
     """A function of a text column to its number of tokens (long)."""
     pieces = spark.sparkContext.broadcast(load_pieces(model_path))
@@ -171,10 +179,7 @@ def token_counter(spark: SparkSession, model_path: str):
 
     @F.arrow_udf("long")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if key not in _made:  # a worker keeps what it has compiled for its next tasks
-            _made.clear()
-            _made[key] = Transducer(pieces.value)
-        run = _made[key]
+        run = compiled(key, pieces.value)
         for texts in batches:
             yield pa.array([run.count(t.as_py()) for t in texts], pa.int64())
 
