@@ -60,7 +60,7 @@ def account_state(tx: DataFrame, cap: int = COUNTERPARTY_CAP) -> DataFrame:
     Sums of amounts are of whole cents, exact in any order; squares are summed as doubles."""
     node = W.partitionBy("node").orderBy("tx_id")
     before = node.rangeBetween(W.unboundedPreceding, -1)
-    e = account_events(tx)
+    e = account_events(tx).repartition("node")  # serves all windows below, whose keys begin with the node
     # First occurrences: the row that brings a new counterparty, currency or format to the node.
     first = lambda *key: F.row_number().over(W.partitionBy("node", *key).orderBy("tx_id", "dir")) == 1
     e = e.withColumn("new_other", first("dir", "other").cast("int")).withColumn("new_currency", first("currency").cast("int")).withColumn("new_format", first("payment_format").cast("int"))
