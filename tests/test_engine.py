@@ -86,6 +86,26 @@ class TestAccountState:
                 assert got[r.tx_id, direction] == tuple(of)
 
 
+    def test_windows_and_sessions_of_a_stream(self, spark, tmp_path):
+        from tidegraph.streaming.account_stream import stream_sessions, stream_windows
+
+        tx = transactions(spark, [(0, i % 3, (i * 5 + 1) % 4, 10 * i + 1, "USD", 9000 * i) for i in range(40)])
+        tx.coalesce(1).write.parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(tx.schema).parquet(str(tmp_path / "in"))
+        for name, make in (("w", lambda t: stream_windows(t, 2)), ("s", stream_sessions)):
+            q = make(source).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).outputMode("complete").trigger(availableNow=True).start()
+            q.awaitTermination(120)
+        rows = [r for r in tx.collect() if r.src_node != r.dst_node]
+        expected = {}
+        for r in rows:
+            for end in (r.secs // 86400 + 1, r.secs // 86400 + 2):
+                key = (end * 86400, r.src_node, r.dst_node)
+                expected[key] = expected.get(key, 0) + r.amount_paid
+        got = {(int(r.window_end.timestamp()), r.src, r.dst): r.w_amount for r in spark.table("w").collect()}
+        assert got == {k: pytest.approx(v) for k, v in expected.items()}
+        assert sum(r.tx_count for r in spark.table("s").collect()) == 40
+
+
 class TestTabular:
     def test_formulas(self, spark):
         amounts = [100, 250, 1000, 1234.56, 1, 50, 500, 50000, 8000, 9500, 9999, 10000, 10500, 0]

@@ -13,11 +13,6 @@ def cents(amount: Column) -> Column:
     return F.rint(amount * 100).cast("long")
 
 
-def money_sum(amount: Column) -> Column:
-    """An exact sum of amounts that are whole cents; other amounts are summed as they are rounded to them."""
-    return F.sum(cents(amount)) / 100
-
-
 def ratio(a: Column, b: Column) -> Column:
     """a / b where b > 0, else null."""
     return F.when(b > 0, a / b)
