@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from tidegraph.operators.graph import undirected
+from tidegraph.sources.shared import ship
 
 
 def partition(a: np.ndarray, b: np.ndarray, weight: np.ndarray, seed: int = 42) -> np.ndarray:
@@ -70,4 +71,5 @@ def communities(edges: DataFrame, seed: int = 42, weight: str = "w_norm") -> Dat
         smallest = pd.Series(nodes).groupby(label).transform("min")
         return pd.DataFrame({"day_idx": pairs["day_idx"].iloc[0], "node": nodes, "community": smallest.to_numpy()})
 
+    ship(edges.sparkSession)
     return undirected(edges, weight).groupBy("day_idx").applyInPandas(solve, "day_idx int, node long, community long")

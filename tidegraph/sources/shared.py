@@ -1,10 +1,12 @@
-"""The folder that driver and executors share, and tables without lineage in it."""
+"""The folder that driver and executors share, tables without lineage in it, and the package itself on the executors."""
 
 from __future__ import annotations
 
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +43,19 @@ def _remove(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     except Exception:  # the session has ended: its folder goes with it
         return
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once an application, so that they need not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="tidegraph-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent))
+        sc.addPyFile(str(archive))
+        _shipped.add(sc.applicationId)
