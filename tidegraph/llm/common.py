@@ -1,17 +1,13 @@
-"""What the text operators share: reading tables, sending the package to executors, byte-wise words."""
+"""What the text operators share: reading tables, byte-wise words, and the shared folder of the engine."""
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.sources.shared import drop_written, shared_folder, written
+from tidegraph.sources.shared import drop_written, shared_folder, ship, written
 
-__all__ = ["drop_written", "shared_folder", "written"]
+__all__ = ["drop_written", "shared_folder", "ship", "written"]
 
 #: Maps A-Z to a-z and leaves every other byte of a UTF-8 text alone.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -30,19 +26,3 @@ def word_count(text: Column) -> Column:
 
 def text_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once an application, so that they need not have it installed."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        package = Path(__file__).resolve().parents[1]
-        archive = Path(tempfile.mkdtemp(prefix="tidegraph-")) / f"{package.name}.zip"
-        with zipfile.ZipFile(archive, "w") as out:
-            for source in sorted(package.rglob("*.py")):
-                out.write(source, source.relative_to(package.parent))
-        sc.addPyFile(str(archive))
-        _shipped.add(sc.applicationId)
