@@ -327,6 +327,42 @@ def test_groups_by_exact_similarity(spark):
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted({find(i) for i in sets})
 
 
+def kept_by_exact_join(texts, least=0.8):
+    """The first of each group of texts that are connected by exact similarity."""
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for b, y in enumerate(sets):
+        for a, x in enumerate(sets[:b]):
+            if len(x & y) >= least * len(x | y):
+                p, q = sorted((find(a), find(b)))
+                parent[q] = p
+    return sorted({find(i) for i in range(len(sets))})
+
+
+def test_near_copies_inside_a_family_are_found(docs):
+    """Members of a template family are just less similar than 0.8 of each other, some have a true near copy."""
+    rng = random.Random(11)
+    base = [f"w{rng.randint(0, 10**9)}" for _ in range(300)]
+    family = []
+    for k in range(50):
+        member = [*base]
+        for p in rng.sample(range(5, 295), 8):
+            member[p] = f"m{k}x{p}"
+        copy = [*member]
+        copy[150 + k] = "changed"
+        family += [" ".join(member), *([" ".join(copy)] if k % 2 else [])]
+    rng.shuffle(family)
+    expected = kept_by_exact_join(family)
+    assert 1 < len(expected) < len(family)
+    assert sorted(r.doc_id for r in dedup.drop_near_duplicates(docs(family)).collect()) == expected
+
+
 # 4. Licences ------------------------------------------------------------------------------------------------------------
 
 

@@ -1,18 +1,18 @@
-"""Near-duplicate removal: SimHash candidates by covering masks, an exact similarity check, one document of each group.
-
-Texts are compared by the sets of their runs of five words. A 64-bit fingerprint of a text is cut into halves, and each
-half has covering masks of radius 6: whatever differs in 13 bits or less (a SimHash similarity of 0.8 or more) differs in at
-most 6 bits of some half, and so meets in some table. Pairs that meet and differ in
-``SLACK`` bits or less, and in ``WIDE`` or less of 128 with a second fingerprint, are candidates; the exact Jaccard similarity
-of their sets decides. Groups are connected components.
-
-A group of very many near copies has a number of pairs that grows with its square, so not all pairs are emitted. Fingerprints
-within ``TIGHT`` bits, and so equal ones, count as similar without a look at the sets: what they connect is found first,
-without pairs. Then a round over a few of the tables, and one over all, emit no pair of a component that is known, and of
-the candidates of a task only a forest that connects them, close pairs first. A link is missed where in all tables both its
-texts have closer candidates that connect them but are less similar than they seem; the groups of the test tables are
-those of an exact join. Buckets of over BUCKET fingerprints are cut into blocks, and blocks are compared with each other
-in tasks of their own, so no task holds more than two blocks.
+"""Near-duplicate removal: an exact join of texts by the sets of their runs of words, one document of each group.
+
+Texts are compared by the sets of their runs of five words. Groups are connected components of the pairs whose exact Jaccard
+similarity is at least ``similarity``: nothing else connects two texts but a fingerprint within ``TIGHT`` bits.
+
+All such pairs share one of the first n - ceil(similarity * n) + 1 shingles of each set, in any order of shingles that is the
+same for all sets (prefix filtering). The order puts shingles that many texts share last, so passages that are common in the
+corpus lead to no pairs; ``COMMON`` of them at most are counted and broadcast, and only speed depends on which.
+
+Pairs are verified in three rounds, and a round takes no pair of a component that is known or that was tried. The first two only
+connect most of a group by few pairs: a forest of SimHash candidates by covering masks (halves of the 64 bits with radius 6),
+then neighbours among the texts of a shingle. The last takes all pairs that share a shingle, have sizes and positions that allow
+the similarity, and are still apart; after it no pair is left. Where the members of a family are just less similar than that,
+their pairs grow with the square of the family. Buckets of over BUCKET texts are cut into blocks, and blocks are compared with
+each other in tasks of their own, so no task holds more than two blocks.
 
 Texts are not shuffled as a whole: which of them take part in a join is tested against a bitmap of fixed size, and only
 those that may (and the few that fall on a set bit by chance) are joined by their key.
@@ -23,6 +23,7 @@ rows with the same id, one. Other columns are carried as they are; an empty tabl
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,8 @@ SCOUTS = 10  # tables of the first round
 ALIKE = 0.8  # of the sizes of two sets, the smaller over the larger
 BUCKET = 16_384
 BITMAP = 1 << 26  # bits
+COMMON = 200_000  # shingles that are put last
+COUNTED = 1 << 21  # shingles that a task counts at a time
 
 
 def _halves() -> list[int]:
@@ -283,6 +286,165 @@ def jaccard(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
+def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles (sorted) that most texts share, and in about how many texts they are: ``COMMON`` at most."""
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        values, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.record_batch([pa.array(values[n > 1].view(np.int64)), pa.array(n[n > 1], pa.int64())], names=["shingle", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for part in batches:
+            for t in part["text"]:
+                held.append(np.unique(shingle_hashes(t.as_py(), words)))
+                size += len(held[-1])
+                if size > COUNTED:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
+
+    found = texts.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 3")
+    rows = found.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    shingles, n = rows["shingle"].to_numpy().astype(np.int64).view(np.uint64), rows["n"].to_numpy().astype(np.int64)
+    order = np.argsort(shingles)
+    return shingles[order], n[order]
+
+
+def _prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """Of a sorted set, the first shingles in the order of all sets: another set with the similarity has one of them among its own first."""
+    n = len(shingles)
+    k = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        often = np.where(common[at] == shingles, counts[at], 0)
+        shingles = shingles[np.argsort(often, kind="stable")]
+    return shingles[:k]
+
+
+def prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """token, size, node, at: of each text (node, text) the shingles it can be found by, the size of its set, and their positions."""
+    sent = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, counts = sent.value
+        for part in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in part["text"]]
+            first = [_prefix(s, common, counts, similarity) for s in sets]
+            n = np.array([len(x) for x in first], np.int64)
+            tokens = np.concatenate([np.empty(0, np.uint64), *first]).view(np.int64)
+            sizes = np.repeat(np.array([len(x) for x in sets], np.int32), n)
+            nodes = np.repeat(part["node"].to_numpy(), n)
+            at = np.concatenate([np.empty(0, np.int32), *(np.arange(k, dtype=np.int32) for k in n)])
+            yield pa.record_batch([pa.array(x) for x in (tokens, sizes, nodes, at)], names=["token", "size", "node", "at"])
+
+    return texts.select("node", "text").mapInArrow(run, "token long, size int, node long, at int")
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows token, size, node, at sorted by the first three: those whose token has another node, each once."""
+    held, carried = None, False
+    for part in batches:
+        c = [x.to_numpy() for x in part.columns]
+        c = [np.concatenate(x) for x in zip(held, c, strict=True)] if held else c
+        if len(c[0]):
+            once = _starts([c[0], c[2]])
+            c = [x[once] for x in c]
+            met = np.zeros(len(c[0]), bool)
+            met[0] = carried
+            same = c[0][1:] == c[0][:-1]
+            met[1:] |= same
+            met[:-1] |= same
+            yield pa.record_batch([pa.array(x[:-1][met[:-1]]) for x in c], names=["token", "size", "node", "at"])
+            held, carried = [x[-1:] for x in c], bool(met[-1])
+    if held and carried:
+        yield pa.record_batch([pa.array(x) for x in held], names=["token", "size", "node", "at"])
+
+
+def _possible(size: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets that share the shingle at these positions, and none before, can have the similarity."""
+    least = similarity / (1 + similarity) * (size[i].astype(float) + size[j])
+    return np.minimum(size[i] - at[i], size[j] - at[j]) >= least - 1e-6
+
+
+def _pair_batch(first: list[np.ndarray], second: list[np.ndarray]) -> pa.RecordBatch:
+    none = np.empty(0, np.int64)
+    a, b = np.concatenate([none, *first]), np.concatenate([none, *second])
+    return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _neighbours(similarity: float):
+    """Of rows token, size, node, at, root sorted by the first three: pairs of neighbours of one token that are apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for part in batches:
+            c = [x.to_numpy() for x in part.columns]
+            c = [np.concatenate(x) for x in zip(held, c, strict=True)] if held else c
+            if len(c[0]):
+                token, size, node, at, root = c
+                i = np.flatnonzero((token[1:] == token[:-1]) & (root[1:] != root[:-1]))
+                i = i[_possible(size, at, i, i + 1, similarity)]
+                yield _pair_batch([node[i]], [node[i + 1]])
+                held = [x[-1:] for x in c]
+
+    return run
+
+
+def _all_pairs(similarity: float):
+    """Of rows token, i, j, size, node, at, root, block sorted by the first four: all pairs of a group that are apart and can have the similarity; of two blocks where i < j, else of one."""
+
+    def whole(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if not len(c[0]):
+            return
+        i, j, size, node, at, root, block = c[1:]
+        groups = np.cumsum(_starts(c[:3]))
+        left = np.searchsorted(groups, groups, side="right") - np.arange(len(groups))
+        rows, step, first, second, held = np.flatnonzero(left > 1), 1, [], [], 0
+        while len(rows):
+            rows = rows[size[rows] >= similarity * size[rows + step] - 1e-6]  # sizes ascend: none further on either
+            x = rows[(root[rows] != root[rows + step]) & ((i[rows] == j[rows]) | (block[rows] != block[rows + step]))]
+            x = x[_possible(size, at, x, x + step, similarity)]
+            if len(x):
+                first.append(node[x])
+                second.append(node[x + step])
+                held += len(x)
+            if held > 100_000:
+                yield _pair_batch(first, second)
+                first, second, held = [], [], 0
+            step += 1
+            rows = rows[left[rows] > step]
+        yield _pair_batch(first, second)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for part in batches:
+            c = [x.to_numpy() for x in part.columns]
+            held = [np.concatenate(x) for x in zip(held, c, strict=True)] if held else c
+            if len(held[0]):
+                last = len(held[0]) - int(np.logical_and.reduce([c == c[-1] for c in held[:3]]).sum())
+                yield from whole([c[:last] for c in held])
+                held = [c[last:] for c in held]
+        if held:
+            yield from whole(held)
+
+    return run
+
+
+def meeting(shared: DataFrame, groups: DataFrame, similarity: float, every: bool) -> DataFrame:
+    """a < b: pairs of nodes that share a token, are not of one group, and can have the similarity: all of them, or only neighbours."""
+    rows = shared.join(groups.select(F.col("print").alias("node"), "root"), "node", "left").select("token", "size", "node", "at", F.coalesce("root", "node").alias("root"))
+    if not every:
+        return rows.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(_neighbours(similarity), "a long, b long").distinct()
+    apart = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    placed = rows.join(apart.select("token", F.ceil(F.col("n") / F.when(F.col("n") > BUCKET, BUCKET // 2).otherwise(BUCKET)).cast("int").alias("n")), "token")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    dealt = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    dealt = dealt.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "size", "node", "at", "root", "block")
+    return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "size").mapInArrow(_all_pairs(similarity), "a long, b long").distinct()
+
+
 def _selected(held: DataFrame, wanted: DataFrame) -> DataFrame:
     """held joined with the rows of wanted that have its __rid."""
     return held.where(maybe_in(held, "__rid", bitmap_of(wanted, "__rid"))).join(wanted, "__rid")
@@ -310,12 +472,23 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     ids = held.select("__rid", "__prints.*", F.struct(F.col(doc_id).isNull().alias("no"), F.col(doc_id).alias("id"), F.col("__rid").alias("rid")).alias("order"))
     first = written(ids.groupBy("print").agg(F.min("order").alias("first"), F.min_by(F.struct("second", "size"), "order").alias("x")).select("print", "first", "x.*"))
     tight = written(components(link_prints(first.select("print"), TIGHT)).withColumnRenamed("node", "print"))
-    known, groups = tight, tight
-    for every in (len(_halves()) // SCOUTS, 1):
-        near = written(candidates(_labelled(first, groups), every))
+    known, groups, tried = tight, tight, None
+
+    def connect(near: DataFrame) -> None:
+        """Lets pairs that have the similarity connect their groups."""
+        nonlocal known, groups, tried
+        near = written(near.join(tried, ["a", "b"], "left_anti") if tried else near)
         verified = written(_verified(held, first, near, words, similarity, text))
+        tried = tried.unionAll(near) if tried else near
         known = known.select("print", "root").unionAll(verified.select(F.col("a").alias("print"), F.col("b").alias("root")))
         groups = written(components(known, "print", "root").withColumnRenamed("node", "print"))
+
+    connect(candidates(_labelled(first, groups), len(_halves()) // SCOUTS))
+    firsts = bitmap_of(first.select(F.col("first.rid").alias("__rid")), "__rid")
+    texts = held.where(maybe_in(held, "__rid", firsts)).select(F.col("__prints.print").alias("node"), F.col(text).alias("text"))
+    shared = written(prefixes(texts, words, similarity).repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(_met, "token long, size int, node long, at int"))
+    for every in (False, True):
+        connect(meeting(shared, groups, similarity, every))
     grouped = first.join(groups, "print", "left").select(F.coalesce("root", "print").alias("root"), "first")
     stays = grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("__rid"))
     goes = written(ids.select("__rid").join(stays, "__rid", "left_anti"))
