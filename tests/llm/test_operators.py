@@ -363,6 +363,15 @@ def test_near_copies_inside_a_family_are_found(docs):
     assert sorted(r.doc_id for r in dedup.drop_near_duplicates(docs(family)).collect()) == expected
 
 
+def test_repeats_do_not_make_texts_alike(docs):
+    """Two texts with one line 40 times and else different shingles have equal fingerprints, and both stay."""
+    rng = random.Random(13)
+    line = " ".join(f"line{k}" for k in range(13))
+    texts = [" ".join([*[line] * 40, *(f"u{rng.randint(0, 10**9)}" for _ in range(60))]) for _ in range(6)]
+    assert kept_by_exact_join(texts) == list(range(6))
+    assert sorted(r.doc_id for r in dedup.drop_near_duplicates(docs(texts)).collect()) == list(range(6))
+
+
 # 4. Licences ------------------------------------------------------------------------------------------------------------
 
 

@@ -1,7 +1,7 @@
 """Near-duplicate removal: an exact join of texts by the sets of their runs of words, one document of each group.
 
 Texts are compared by the sets of their runs of five words. Groups are connected components of the pairs whose exact Jaccard
-similarity is at least ``similarity``: nothing else connects two texts but a fingerprint within ``TIGHT`` bits.
+similarity is at least ``similarity``: nothing else connects two texts, and only equal sets are not compared.
 
 All such pairs share one of the first n - ceil(similarity * n) + 1 shingles of each set, in any order of shingles that is the
 same for all sets (prefix filtering). The order puts shingles that many texts share last, so passages that are common in the
@@ -28,15 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.llm.common import written
 from tidegraph.llm.graph import components
-from tidegraph.llm.simhash import covering_masks, fingerprint_of, link_prints, shingle_hashes
+from tidegraph.llm.simhash import SEED, covering_masks, fingerprint_of, shingle_hashes
 
 RADII = ((range(32), 6), (range(32, 64), 6))
-SLACK, WIDE, TIGHT = 16, 30, 2
+SLACK, WIDE = 16, 30
 SCOUTS = 10  # tables of the first round
 ALIKE = 0.8  # of the sizes of two sets, the smaller over the larger
 BUCKET = 16_384
@@ -215,20 +216,32 @@ def candidates(prints: DataFrame, every: int = 1, slack: int = SLACK) -> DataFra
     return pairs.unionAll(more.select("a", "b").distinct())
 
 
+def scouted(first: DataFrame) -> DataFrame:
+    """a < b: nodes whose fingerprints are equal or candidates of the first round."""
+    of = written(first.groupBy("print").agg(F.min("node").alias("node"), F.min_by(F.struct("second", "size"), "node").alias("x")).select("print", "node", F.lit(0).alias("known"), "x.*"))
+    end = lambda name: of.select(F.col("print").alias(name), F.col("node").alias(f"node_{name}"))
+    near = candidates(of, len(_halves()) // SCOUTS).join(end("a"), "a").join(end("b"), "b").select("node_a", "node_b")
+    equal = first.select("print", "node").join(of.select("print", F.col("node").alias("least")), "print").where("node <> least").select("least", "node")
+    pairs = near.unionAll(equal).toDF("a", "b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def fingerprints(text: Column, words: int) -> Column:
-    """struct(print, second, size): two fingerprints of the runs of words, the second of hashes that are mixed once more, and how many distinct runs there are."""
+    """struct(print, second, size, node): two fingerprints of the runs of words, the second of hashes that are mixed once more, how many distinct runs there are, and a hash of their set."""
 
-    @F.arrow_udf("print long, second long, size int")
+    @F.arrow_udf("print long, second long, size int, node long")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            prints, seconds, sizes = [], [], []
+            prints, seconds, sizes, nodes = [], [], [], []
             for t in texts:
                 hashes = shingle_hashes(t.as_py(), words)
                 prints.append(fingerprint_of(hashes))
                 mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
                 seconds.append(fingerprint_of((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)))
-                sizes.append(len(np.unique(hashes)))
-            yield pa.StructArray.from_arrays([pa.array(prints, pa.int64()), pa.array(seconds, pa.int64()), pa.array(sizes, pa.int32())], names=["print", "second", "size"])
+                distinct = np.unique(hashes)
+                sizes.append(len(distinct))
+                nodes.append(xxhash.xxh64_intdigest(distinct.tobytes(), SEED))
+            yield pa.StructArray.from_arrays([pa.array(prints, pa.int64()), pa.array(seconds, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(nodes, np.uint64).view(np.int64))], names=["print", "second", "size", "node"])
 
     return run(text)
 
@@ -434,7 +447,7 @@ def _all_pairs(similarity: float):
 
 def meeting(shared: DataFrame, groups: DataFrame, similarity: float, every: bool) -> DataFrame:
     """a < b: pairs of nodes that share a token, are not of one group, and can have the similarity: all of them, or only neighbours."""
-    rows = shared.join(groups.select(F.col("print").alias("node"), "root"), "node", "left").select("token", "size", "node", "at", F.coalesce("root", "node").alias("root"))
+    rows = shared.join(groups, "node", "left").select("token", "size", "node", "at", F.coalesce("root", "node").alias("root"))
     if not every:
         return rows.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(_neighbours(similarity), "a long, b long").distinct()
     apart = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
@@ -450,18 +463,12 @@ def _selected(held: DataFrame, wanted: DataFrame) -> DataFrame:
     return held.where(maybe_in(held, "__rid", bitmap_of(wanted, "__rid"))).join(wanted, "__rid")
 
 
-def _labelled(first: DataFrame, groups: DataFrame) -> DataFrame:
-    """first with known: 0, or a number for the component of the fingerprint."""
-    number = F.xxhash64("root").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").bitwiseOR(F.lit(1))
-    return first.join(groups, "print", "left").select("print", "second", F.when(F.col("root").isNull(), 0).otherwise(number).alias("known"), "size")
-
-
 def _verified(held: DataFrame, first: DataFrame, near: DataFrame, words: int, similarity: float, text: str) -> DataFrame:
     """The pairs of near whose sets have the similarity. Sets are made of the texts that are asked for only."""
-    ends = near.select(F.explode(F.array("a", "b")).alias("print")).distinct()
-    wanted = written(first.join(ends, "print").select("print", F.col("first.rid").alias("__rid")))
-    sets = written(_selected(held.select("__rid", F.col(text).alias("text")), wanted).select("print", shingle_set(F.col("text"), words).alias("set")))
-    of = lambda end: sets.select(F.col("print").alias(end), F.col("set").alias(f"set_{end}"))
+    ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = written(first.join(ends, "node").select("node", F.col("first.rid").alias("__rid")))
+    sets = written(_selected(held.select("__rid", F.col(text).alias("text")), wanted).select("node", shingle_set(F.col("text"), words).alias("set")))
+    of = lambda end: sets.select(F.col("node").alias(end), F.col("set").alias(f"set_{end}"))
     return near.join(of("a"), "a").join(of("b"), "b").where(jaccard(F.col("set_a"), F.col("set_b")) >= similarity).select("a", "b")
 
 
@@ -470,26 +477,26 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     marked = docs.withColumn("__rid", F.monotonically_increasing_id()).withColumn("__prints", fingerprints(F.col(text), words))
     held = written(marked)
     ids = held.select("__rid", "__prints.*", F.struct(F.col(doc_id).isNull().alias("no"), F.col(doc_id).alias("id"), F.col("__rid").alias("rid")).alias("order"))
-    first = written(ids.groupBy("print").agg(F.min("order").alias("first"), F.min_by(F.struct("second", "size"), "order").alias("x")).select("print", "first", "x.*"))
-    tight = written(components(link_prints(first.select("print"), TIGHT)).withColumnRenamed("node", "print"))
-    known, groups, tried = tight, tight, None
+    first = written(ids.groupBy("node").agg(F.min("order").alias("first"), F.min_by(F.struct("print", "second", "size"), "order").alias("x")).select("node", "first", "x.*"))
+    known, tried = None, None
 
-    def connect(near: DataFrame) -> None:
-        """Lets pairs that have the similarity connect their groups."""
-        nonlocal known, groups, tried
+    def connect(near: DataFrame) -> DataFrame:
+        """Lets pairs that have the similarity connect their groups: node, root."""
+        nonlocal known, tried
         near = written(near.join(tried, ["a", "b"], "left_anti") if tried else near)
         verified = written(_verified(held, first, near, words, similarity, text))
         tried = tried.unionAll(near) if tried else near
-        known = known.select("print", "root").unionAll(verified.select(F.col("a").alias("print"), F.col("b").alias("root")))
-        groups = written(components(known, "print", "root").withColumnRenamed("node", "print"))
+        known = known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(verified) if known else verified
+        known = written(components(known))
+        return known
 
-    connect(candidates(_labelled(first, groups), len(_halves()) // SCOUTS))
+    groups = connect(scouted(first))
     firsts = bitmap_of(first.select(F.col("first.rid").alias("__rid")), "__rid")
-    texts = held.where(maybe_in(held, "__rid", firsts)).select(F.col("__prints.print").alias("node"), F.col(text).alias("text"))
+    texts = held.where(maybe_in(held, "__rid", firsts)).select(F.col("__prints.node").alias("node"), F.col(text).alias("text"))
     shared = written(prefixes(texts, words, similarity).repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(_met, "token long, size int, node long, at int"))
     for every in (False, True):
-        connect(meeting(shared, groups, similarity, every))
-    grouped = first.join(groups, "print", "left").select(F.coalesce("root", "print").alias("root"), "first")
+        groups = connect(meeting(shared, groups, similarity, every))
+    grouped = first.join(groups, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     stays = grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("__rid"))
     goes = written(ids.select("__rid").join(stays, "__rid", "left_anti"))
     tested = held.withColumn("__suspect", maybe_in(held, "__rid", bitmap_of(goes, "__rid")))
