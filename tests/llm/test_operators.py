@@ -372,6 +372,21 @@ def test_repeats_do_not_make_texts_alike(docs):
     assert sorted(r.doc_id for r in dedup.drop_near_duplicates(docs(texts)).collect()) == list(range(6))
 
 
+def test_copies_with_repeated_passages_are_found(docs):
+    """Copies in which passages are pasted 30 times, and copies just above 0.8."""
+    rng = random.Random(17)
+    texts = []
+    for k in range(20):
+        words = [f"p{k}w{i}" for i in range(200)]
+        pasted = words[:25] * 30 + words[25:]
+        changed = [*words]
+        for p in (20, 60, 100, 140):
+            changed[p] = f"c{rng.randint(0, 10**9)}"
+        texts += [" ".join(words), " ".join(pasted), " ".join(changed)]
+    assert kept_by_exact_join(texts) == list(range(0, 60, 3))
+    assert sorted(r.doc_id for r in dedup.drop_near_duplicates(docs(texts)).collect()) == list(range(0, 60, 3))
+
+
 # 4. Licences ------------------------------------------------------------------------------------------------------------
 
 

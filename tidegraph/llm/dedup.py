@@ -227,18 +227,17 @@ def scouted(first: DataFrame) -> DataFrame:
 
 
 def fingerprints(text: Column, words: int) -> Column:
-    """struct(print, second, size, node): two fingerprints of the runs of words, the second of hashes that are mixed once more, how many distinct runs there are, and a hash of their set."""
+    """struct(print, second, size, node): two fingerprints of the distinct runs of words, the second of hashes that are mixed once more, how many there are, and a hash of their set."""
 
     @F.arrow_udf("print long, second long, size int, node long")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             prints, seconds, sizes, nodes = [], [], [], []
             for t in texts:
-                hashes = shingle_hashes(t.as_py(), words)
-                prints.append(fingerprint_of(hashes))
-                mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
+                distinct = np.unique(shingle_hashes(t.as_py(), words))
+                prints.append(fingerprint_of(distinct))
+                mixed = distinct * np.uint64(0x9E3779B97F4A7C15)
                 seconds.append(fingerprint_of((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)))
-                distinct = np.unique(hashes)
                 sizes.append(len(distinct))
                 nodes.append(xxhash.xxh64_intdigest(distinct.tobytes(), SEED))
             yield pa.StructArray.from_arrays([pa.array(prints, pa.int64()), pa.array(seconds, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(nodes, np.uint64).view(np.int64))], names=["print", "second", "size", "node"])
