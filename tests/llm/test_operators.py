@@ -456,6 +456,15 @@ def test_clashing_surrogates_get_another_key(docs, monkeypatch):
     assert len({r.text for r in out}) == len(out)
 
 
+def test_many_given_names_and_masked_secrets(docs):
+    """More given names of one surname than the pool has, secrets without letters or digits, and more short ones than their shapes."""
+    texts = [f"Mr Aname{chr(97 + i // 26)}{chr(97 + i % 26)} Smith" for i in range(100)] + [f"password = {q}" for q in ('"********"', '"----------"')] + [f'password = "*******{i}"' for i in range(10)]
+    out = {r.doc_id: r.text for r in pii.with_surrogates(docs(texts), "key").collect()}
+    assert len(set(out.values())) == len(texts) and all(out[i] != t for i, t in enumerate(texts))
+    masked = pii.with_surrogates(docs(['password = "********"']), "key").first().text
+    assert re.fullmatch('password = "[0-9a-f]{8}"', masked)
+
+
 # 6. Language model ------------------------------------------------------------------------------------------------------
 
 

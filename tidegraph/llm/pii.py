@@ -5,10 +5,11 @@ entity and the entity alone: the same entity has the same surrogate in every doc
 join. Numbers (phones, cards, IP addresses, social security numbers) go through a keyed Feistel permutation of the numbers
 of that length, so distinct ones stay distinct; layout is kept, and a card number passes the Luhn check exactly if the
 original does. Other kinds are drawn from a keyed hash: e-mail addresses keep the shape of their local part, secrets their
-length and alphabet, and names after a title get a given name of that gender and script and an invented surname of that script.
+length and alphabet (without letters and digits, hexadecimal digits), and names after a title get a given name of that gender and
+script and an invented surname of that script.
 
 ``checked_key`` compares distinct entities with distinct surrogates over all documents, before anything is replaced. If
-two entities share a surrogate, or one is its own surrogate, the next key is tried, with longer surnames.
+two entities share a surrogate, or one is its own surrogate, the next key is tried, with longer surnames, invented endings of given names, and longer secrets.
 
 Null text stays null and has no entities; texts of any length are taken whole. Rows that are alike get like results; an
 empty table gives an empty result. Only the text column is read and replaced; all others keep their names and values.
@@ -134,8 +135,10 @@ class Surrogates:
         return F.array_join(F.transform(F.filter(F.split(entity, ""), lambda c: c != ""), char), "")
 
     def secret(self, entity: Column) -> Column:
+        """The next keys add digits: of short secrets there may be more than their shapes can tell apart."""
         stream = F.concat(*(self._digest("secret", str(i), entity) for i in range(4)))  # 256 hexadecimal digits
-        return F.when(entity.rlike("^[0-9a-f]+$"), F.substring(stream, F.lit(1), F.length(entity))).otherwise(self.shape("secret", entity))
+        kept = F.when(entity.rlike("^[0-9a-f]+$") | ~entity.rlike(r"[0-9\p{L}]"), F.substring(stream, F.lit(1), F.length(entity))).otherwise(self.shape("secret", entity))
+        return F.concat(kept, F.substring(self._digest("more", entity), 1, 4 * self.attempt)) if self.attempt else kept
 
     def email(self, entity: Column) -> Column:
         low = F.lower(entity)
@@ -154,13 +157,16 @@ class Surrogates:
 
         def given(s: str) -> Column:
             pick = lambda g: F.element_at(F.split(F.lit(GIVEN[s, g]), " "), F.pmod(self._number("given", g, names[0]), F.lit(len(GIVEN[s, g].split()))).cast("int") + 1)
-            return F.when(male, pick("male")).otherwise(pick("female"))
+            picked = F.when(male, pick("male")).otherwise(pick("female"))
+            return F.concat(picked, invented(s, "ending", names[0], 2 + self.attempt)) if self.attempt else picked
 
-        def surname(s: str) -> Column:
+        def invented(s: str, kind: str, of: Column, size: int) -> Column:
             n = len(SYLLABLES[s].split())
-            digest = self._digest("surname", F.element_at(names, -1))
-            parts = [F.element_at(F.split(F.lit(SYLLABLES[s]), " "), F.pmod(F.conv(F.substring(digest, 1 + 4 * i, 4), 16, 10).cast("int"), F.lit(n)) + 1) for i in range(min(16, 4 + self.attempt))]
-            return F.initcap(F.concat(*parts))
+            digest = self._digest(kind, of)
+            return F.concat(*(F.element_at(F.split(F.lit(SYLLABLES[s]), " "), F.pmod(F.conv(F.substring(digest, 1 + 4 * i, 4), 16, 10).cast("int"), F.lit(n)) + 1) for i in range(min(16, size))))
+
+        def surname(s: str) -> Column:
+            return F.initcap(invented(s, "surname", F.element_at(names, -1), 4 + self.attempt))
 
         return F.concat(title, F.when(F.size(names) > 1, F.concat(of(given), F.lit(" "))).otherwise(""), of(surname))
 
