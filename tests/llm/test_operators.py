@@ -402,6 +402,42 @@ def test_licence_rules(docs):
     assert all(got[i].licences == [] and got[i].allows == "none" for i in (5, 6, 7)) and got[8].licences == ["LicenseRef-all-rights-reserved"]
 
 
+def test_verbatim_notices(docs):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+    gpl = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details."""
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\r\nLicense, v. 2.0. If a copy"
+    gpl2 = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    apart = "licensed under\n\nthe MIT License"
+    texts = [f"MIT License\n\n{mit}\n", gpl, mpl, gpl2, "// SPDX-License-Identifier: MIT\nint x;", apart]
+    got = {r.doc_id: r.f for r in docs(texts).select("doc_id", licences.scan(F.col("text")).alias("f")).collect()}
+    assert got[0].licences == ["MIT"] and got[0].n_known == 4 and got[1].n_known == 3 and got[1].n_unmatched == 0
+    assert got[1].allows == got[3].allows == got[2].allows == "copyleft" and got[2].licences == ["MPL-2.0"] and got[4].licences == ["MIT"] and got[5].licences == []
+
+
 def test_every_known_sentence_has_a_hint():
     assert all(re.search(licences.HINT, s) for s in licences.SENTENCES.values())
     assert {x for _, _, ids in licences.RULES for x in ids.split()} <= set(licences.SENTENCES)

@@ -1,7 +1,8 @@
 """Licence scans by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences (line breaks, and . ; ! ? before white space), each is normalised (lower case, runs of
-anything but letters and digits are one space), and known ones become identifiers. The sequence of a text's identifiers
+A text is cut into pieces (line breaks, and . ; ! ? : before white space), each is normalised (lower case, runs of
+anything but letters and digits are one space), and known sentences become identifiers: those that are one piece, or several
+pieces in a row of one paragraph, as in wrapped notices and in 'SPDX-License-Identifier: MIT' or 'v. 2.0'. The sequence of a text's identifiers
 is matched against ordered licence rules: each rule names a licence and the identifiers that make it up, in order; a rule
 that matches consumes its identifiers, so that later, shorter rules see only what is left. A known sentence that no rule
 consumes makes the text's licence UNKNOWN.
@@ -97,7 +98,9 @@ RULES = [
 ]
 #: A text with none of these has no known sentence but the ones in PLAIN.
 HINT = r"(?i)licen[sc]|reserved|granted|permitted|redistribut|warranty|copyright|public\s+domain|the\s+license|mozilla|liable"
-SENTENCE_END = r"\n|[.;!?:](?=\s|$)"
+PIECE_END = r"[.;!?:]?[ \t\r]*\n|[.;!?:](?=\s|$)"
+#: Of pieces with a | before and after each: known sentences, the longest first. No piece is empty but between paragraphs.
+KNOWN = rf"(?<=\|)(?:{'|'.join(s.replace(' ', '[ |]') for s in sorted(SENTENCES.values(), key=len, reverse=True))})(?=\|)"
 CLASSES = ["reserved", "noncommercial", "copyleft", "permissive"]  # the strictest first
 SCHEMA = "licences array<string>, allows string, n_known int, n_unmatched int"
 
@@ -109,7 +112,8 @@ def normalised(sentence: Column) -> Column:
 def scan(text: Column) -> Column:
     """A struct (SCHEMA): licences in the order of the rules, UNKNOWN last; the strictest class of what they allow."""
     names = F.create_map(*(F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)))
-    known = F.filter(F.transform(F.split(text, SENTENCE_END), lambda s: F.try_element_at(names, normalised(s))), lambda x: x.isNotNull())
+    pieces = F.concat(F.lit("|"), F.array_join(F.transform(F.split(text, PIECE_END), normalised), "|"), F.lit("|"))
+    known = F.transform(F.regexp_extract_all(pieces, F.lit(KNOWN), F.lit(0)), lambda s: F.try_element_at(names, F.translate(s, "|", " ")))
     ids = F.when(text.rlike(HINT), known).otherwise(F.array().cast("array<string>"))
     rules = F.array(*(F.struct(F.lit(n).alias("licence"), F.lit(a).alias("allows"), F.lit(f" {s.replace(' ', '  ')} ").alias("ids")) for n, a, s in RULES))
     start = F.struct(F.concat(F.lit(" "), F.array_join(ids, "  "), F.lit(" ")).alias("left"), F.array().cast("array<string>").alias("licences"), F.array().cast("array<string>").alias("allows"))
