@@ -117,6 +117,65 @@ def test_held_out_accuracy(spark):
     assert caught / sum(r.toxic for r in rows) > 0.85 and caught / sum(r.predicted for r in rows) > 0.9
 
 
+def poisson_tail(r, mean):
+    return 1 - sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(r))
+
+
+def test_evidence_by_poisson_tails():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        n, scores = int(rng.integers(1, 5000)), rng.exponential(2.0, int(rng.integers(0, 8)))
+        found = toxicity.evidence(n, scores, 1.2, 0.01, 0.5)
+        counted = np.sort(scores[scores > 0.5])[::-1]
+        means = [0.01 * n * math.exp(-1.2 * s) for s in counted]
+        exact = max([0.0, *(-math.log10(max(poisson_tail(r, m), 1e-14) * r * (r + 1)) for r, m in enumerate(means, 1) if m < r)])
+        assert found <= exact + 1e-6  # the bound of the tail never promises more than the tail
+        assert found >= min(exact, 12) - 1.0
+
+
+def test_evidence_never_falls_as_a_segment_rises():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        n, scores = int(rng.integers(1, 20_000)), rng.exponential(2.0, int(rng.integers(1, 12)))
+        more = scores.copy()
+        more[rng.integers(len(more))] += rng.exponential(1.0)
+        low, high = (toxicity.evidence(n, x, 1.5, 0.02, 0.3) for x in (scores, more))
+        assert high >= low - 1e-9
+
+
+def test_planted_passages_score(spark):
+    """A passage of E <= 1e-4 in a clean text of any length is toxic; a stronger one never scores less."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    assert model.slope > 0
+    words = [w for r in docs.where("lang = 'en'").orderBy("doc_id").limit(400).select("text").collect() for w in toxicity.words_of(r.text)]
+    clean = [w for w in words if model._score(w) < 0]
+    bad = max((w for w in set(words)), key=model._score)
+    for n in (30, 100, 1000, 5000):
+        text, before = clean[:n], 0.0
+        assert model.judge(b" ".join(text).decode())[0] < toxicity.SURE_SCORE
+        for strength in range(1, 40):
+            # ever more of a word whose occurrences count 1, 1/2, 1/3, ...
+            planted = b" ".join(text[: n // 2] + [bad] * strength + text[n // 2 :]).decode()
+            score, passages = model.judge(planted)
+            assert score >= before - 1e-9
+            before = score
+            if passages and min(p[2] for p in passages) <= 0.5 * 10**-toxicity.SURE:
+                assert score >= 0.7
+        assert before >= 0.7
+
+
+def test_learning_takes_each_id_and_text_once(docs, shipped):
+    rows = docs(["a b", "a b", "c d", "a b", None, None], [1, 1, 1, 3, 4, 6])
+    labels = shipped.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, toxic int")
+    got = toxicity.training_rows(rows, labels, 100).collect()
+    ids = [i for i in (1, 3, 4, 6) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert len(got) == len({r.text for r in got}) <= len(ids)
+    assert {r.text for r in got} <= {"a b", "c d", None}
+    assert all(0 <= r.part < toxicity.FOLDS for r in got)
+
+
 def test_toxicity_edges(docs, shipped):
     labels = lambda rows: shipped.createDataFrame(rows, "doc_id long, toxic int, quality int")
     texts = docs([*ODD, *(f"nice calm words {i}" for i in range(40)), *(f"you foul rotten thing {i}" for i in range(40))])
