@@ -361,6 +361,15 @@ def test_one_of_each_group_stays(docs, spark):
     assert dedup.drop_near_duplicates(docs([])).count() == 0
 
 
+def test_names_in_use_inside_stay_as_they_were(docs):
+    for name in ("__rid", "__prints", "__suspect", "row", "key"):
+        frame = docs(["a b c d e f", "a b c d e f", "x y z"]).withColumn(name, F.lit("keep"))
+        out = dedup.drop_near_duplicates(frame)
+        assert out.columns == frame.columns and [r[name] for r in out.collect()] == ["keep"] * 2
+        out = mixing.mixed(frame)
+        assert out.columns[: len(frame.columns)] == frame.columns and {r[name] for r in out.collect()} == {"keep"}
+
+
 def test_groups_by_exact_similarity(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     sets = {i: frozenset(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import written
+from tidegraph.llm.common import LOWER, text_bytes, written
 from tidegraph.llm.graph import components
-from tidegraph.llm.simhash import SEED, covering_masks, fingerprint_of, shingle_hashes
+from tidegraph.llm.simhash import SEED, covering_masks, fingerprint_of
 
 RADII = ((range(32), 6), (range(32, 64), 6))
 SLACK, WIDE = 16, 30
@@ -46,6 +47,34 @@ COMMON = 200_000  # shingles that are put last
 COUNTED = 1 << 21  # shingles that a task counts at a time
 
 
+#: Of the bytes, for polynomial hashes of runs of words.
+BYTES = np.random.default_rng(SEED).integers(1 << 63, size=256, dtype=np.uint64)
+BASE = 0x9E3779B97F4A7C15
+
+
+@lru_cache(4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE and its inverse to the power of 0 to n - 1, modulo 2 ** 64."""
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b % (1 << 64), np.uint64)])) for b in (BASE, pow(BASE, -1, 1 << 64)))
+
+
+def shingles_of(text: str | None, words: int) -> np.ndarray:
+    """A 64-bit hash of each run of so many words, lower-cased and joined by a space; of the whole text if it has fewer; none without words."""
+    parts = text_bytes(text).translate(LOWER).split()
+    if not parts:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(parts)
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    ends = np.cumsum(size + 1) - 1
+    first, last = (ends - size)[: max(1, len(parts) - words + 1)], ends[min(words, len(parts)) - 1 :]
+    up, down = _powers(1 << max(12, len(joined).bit_length()))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTES[np.frombuffer(joined, np.uint8)] * up[: len(joined)])])
+    h = (total[last] - total[first]) * down[first]
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53), (33, 1)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h
+
+
 def _halves() -> list[int]:
     return [m for positions, radius in RADII for m in covering_masks(radius, positions)]
 
@@ -234,7 +263,7 @@ def fingerprints(text: Column, words: int) -> Column:
         for texts in batches:
             prints, seconds, sizes, nodes = [], [], [], []
             for t in texts:
-                distinct = np.unique(shingle_hashes(t.as_py(), words))
+                distinct = np.unique(shingles_of(t.as_py(), words))
                 prints.append(fingerprint_of(distinct))
                 mixed = distinct * np.uint64(0x9E3779B97F4A7C15)
                 seconds.append(fingerprint_of((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)))
@@ -279,7 +308,7 @@ def shingle_set(text: Column, words: int) -> Column:
     @F.arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in texts], pa.binary())
+            yield pa.array([np.unique(shingles_of(t.as_py(), words)).tobytes() for t in texts], pa.binary())
 
     return run(text)
 
@@ -309,7 +338,7 @@ def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
         held, size = [], 0
         for part in batches:
             for t in part["text"]:
-                held.append(np.unique(shingle_hashes(t.as_py(), words)))
+                held.append(np.unique(shingles_of(t.as_py(), words)))
                 size += len(held[-1])
                 if size > COUNTED:
                     yield counted(held)
@@ -342,7 +371,7 @@ def prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = sent.value
         for part in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in part["text"]]
+            sets = [np.unique(shingles_of(t.as_py(), words)) for t in part["text"]]
             first = [_prefix(s, common, counts, similarity) for s in sets]
             n = np.array([len(x) for x in first], np.int64)
             tokens = np.concatenate([np.empty(0, np.uint64), *first]).view(np.int64)
@@ -473,6 +502,9 @@ def _verified(held: DataFrame, first: DataFrame, near: DataFrame, words: int, si
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of texts that are connected by a similarity of at least ``similarity``."""
+    columns = docs.columns
+    doc_id, text = (f"c{columns.index(c)}" for c in (doc_id, text))
+    docs = docs.toDF(*(f"c{i}" for i in range(len(columns))))  # no name of the input meets one in use here
     marked = docs.withColumn("__rid", F.monotonically_increasing_id()).withColumn("__prints", fingerprints(F.col(text), words))
     held = written(marked)
     ids = held.select("__rid", "__prints.*", F.struct(F.col(doc_id).isNull().alias("no"), F.col(doc_id).alias("id"), F.col("__rid").alias("rid")).alias("order"))
@@ -500,4 +532,4 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     goes = written(ids.select("__rid").join(stays, "__rid", "left_anti"))
     tested = held.withColumn("__suspect", maybe_in(held, "__rid", bitmap_of(goes, "__rid")))
     kept = tested.where("NOT __suspect").unionByName(tested.where("__suspect").join(goes, "__rid", "left_anti").select(*tested.columns))
-    return kept.select(*docs.columns)
+    return kept.select(*docs.columns).toDF(*columns)

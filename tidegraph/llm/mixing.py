@@ -59,11 +59,14 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, seed: int = 42, per_b
 
 def mixed(docs: DataFrame, quality: DataFrame | None = None, seed: int = 42, per_bucket: int = 200, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of docs that the mix takes, with size, taken and copies (a column of docs that has one of these names stays instead); a document without words has a copy for each complete epoch."""
-    held = written(docs.withColumn("__rid", F.monotonically_increasing_id()))
-    rows = held.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), "__rid")
-    taken = _taken(rows, quality, seed, per_bucket).where("copies > 0").select("__rid", "size", "taken", "copies")
+    rid = "__rid"
+    while rid in docs.columns:
+        rid += "_"
+    held = written(docs.withColumn(rid, F.monotonically_increasing_id()))
+    rows = held.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.col(rid).alias("row"))
+    taken = _taken(rows, quality, seed, per_bucket).where("copies > 0").select(F.col("row").alias(rid), "size", "taken", "copies")
     new = [c for c in ("size", "taken", "copies") if c not in docs.columns]
-    return held.join(taken.select("__rid", *new), "__rid").select(*docs.columns, *new)
+    return held.join(taken.select(rid, *new), rid).select(*docs.columns, *new)
 
 
 def _taken(rows: DataFrame, quality: DataFrame | None, seed: int, per_bucket: int) -> DataFrame:
