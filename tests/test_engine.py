@@ -1,6 +1,7 @@
 """Hand-derived fixtures and metamorphic checks of the engine."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -9,12 +10,12 @@ from pyspark.sql import functions as F
 
 from tidegraph.operators import evaluate as ev
 from tidegraph.operators import features as feats
-from tidegraph.operators import graph, ingest, splits
+from tidegraph.operators import backends, graph, ingest, splits
 from tidegraph.operators import models as ladder
 from tidegraph.operators import snapshots as snap
 from tidegraph.operators.louvain import communities, partition
 from tidegraph.operators.ordering import with_position
-from tidegraph.plans.assemble import Block, FeatureSpec, assemble, check_matrix, register
+from tidegraph.plans.assemble import BLOCKS, Block, assemble, check_matrix, declared
 from tidegraph.plans.config import Config, merge
 from tidegraph.sources.files import RAW_HEADER, StageStore, read_blocks, read_transactions
 
@@ -35,25 +36,31 @@ def edge_table(spark, rows):
     return spark.createDataFrame([(0, a, b, float(w), float(w), n, 0) for a, b, w, n in rows], "day_idx int, src long, dst long, w_amount double, w_norm double, tx_count long, last_ts long")
 
 
-TRIANGLES = [(0, 1, 10, 1), (1, 2, 10, 2), (2, 0, 10, 1), (2, 3, 1, 1), (3, 4, 10, 3), (4, 5, 10, 1), (5, 3, 10, 1)]
+#: Two rings of four with chords, heavy inside, and one light edge from 3 to 4. src, dst, weight, transactions; node 8 of the space of 9 has no edge.
+RINGS = [
+    (0, 1, 8, 1), (1, 2, 8, 2), (2, 3, 8, 1), (3, 0, 8, 1), (0, 2, 8, 1), (1, 3, 8, 1), (3, 4, 1, 1),
+    (4, 5, 8, 3), (5, 6, 8, 1), (6, 7, 8, 1), (7, 4, 8, 1), (4, 6, 8, 1), (5, 7, 8, 1),
+]
 
 
 class TestAccountState:
-    ROWS = [(0, 0, 1, 100, "USD", 0), (0, 1, 2, 50, "USD", 100), (0, 0, 1, 200, "USD", 300), (0, 1, 0, 25, "USD", 400)]
+    ROWS = [(0, 5, 8, 40, "USD", 10), (0, 8, 6, 15, "USD", 70), (0, 5, 8, 60, "EUR", 200), (0, 8, 5, 30, "USD", 260)]
 
     def state(self, spark, rows):
         return {r["tx_id"]: r for r in feats.account_state(transactions(spark, rows)).collect()}
 
     def test_registers(self, spark):
         s = self.state(spark, self.ROWS)
-        assert (s[0].src_tx_count_out, s[0].src_volume_out, s[0].dst_tx_count_in, s[0].src_account_age_secs) == (0, 0.0, 0, 0)
-        assert s[0].src_mean_amount_out is None and s[0].src_turnover_latency is None and s[0].src_unique_currencies_seen == 0
-        assert (s[2].src_tx_count_out, s[2].src_volume_out, s[2].src_tx_count_in, s[2].src_account_age_secs) == (1, 100.0, 0, 300)
-        assert (s[2].dst_distinct_counterparties_in, s[2].dst_distinct_counterparties_out) == (1, 1)
-        r = s[3]
-        assert (r.src_tx_count_in, r.src_volume_in, r.src_tx_count_out, r.src_volume_out, r.src_inout_volume_ratio) == (2, 300.0, 1, 50.0, 6.0)
-        assert (r.src_secs_since_last_in, r.src_secs_since_last_out, r.src_turnover_latency) == (100, 300, 100)
-        assert s[1].src_turnover_latency is None
+        new = s[0]
+        assert (new.src_tx_count_out, new.src_volume_out, new.dst_tx_count_in, new.src_account_age_secs, new.src_unique_currencies_seen) == (0, 0.0, 0, 0, 0)
+        assert new.src_mean_amount_out is None and new.src_turnover_latency is None and s[1].src_turnover_latency is None
+        sender = s[2]  # of 40 at second 10; its receiver 8 has had 40 and passed 15 on
+        assert (sender.src_tx_count_out, sender.src_volume_out, sender.src_tx_count_in, sender.src_account_age_secs) == (1, 40.0, 0, 190)
+        assert (sender.dst_distinct_counterparties_in, sender.dst_distinct_counterparties_out) == (1, 1)
+        r = s[3]  # node 8: 40 and 60 in, 15 out
+        assert (r.src_tx_count_in, r.src_volume_in, r.src_tx_count_out, r.src_volume_out, r.src_mean_amount_in) == (2, 100.0, 1, 15.0, 50.0)
+        assert math.isclose(r.src_inout_volume_ratio, 100 / 15) and r.src_unique_currencies_seen == 2
+        assert (r.src_secs_since_last_in, r.src_secs_since_last_out, r.src_turnover_latency) == (60, 190, 60)
 
     def test_self_loop_sees_neither_side_of_itself(self, spark):
         s = self.state(spark, [(0, 0, 1, 100, "USD", 0), (0, 0, 0, 50, "USD", 100)])
@@ -86,6 +93,17 @@ class TestAccountState:
                 assert got[r.tx_id, direction] == tuple(of)
 
 
+    def test_a_late_event_is_an_error(self, spark, tmp_path):
+        from tidegraph.streaming.account_stream import run_available, stream_account_state
+
+        tx = transactions(spark, [(0, 1, 2, 10, "USD", 50 * i) for i in range(4)])
+        for ids in ((2, 3), (0, 1)):
+            tx.where(F.col("tx_id").isin(*ids)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            time.sleep(1.1)
+        source = spark.readStream.schema(tx.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        with pytest.raises(Exception, match="comes after"):
+            run_available(stream_account_state(source))
+
     def test_windows_and_sessions_of_a_stream(self, spark, tmp_path):
         from tidegraph.streaming.account_stream import stream_sessions, stream_windows
 
@@ -125,22 +143,27 @@ class TestTabular:
 
 
 class TestSnapshots:
-    ROWS = [(0, 0, 1, 100, "USD", 100), (0, 0, 1, 300, "USD", 500), (1, 1, 2, 200, "USD", 300), (2, 2, 2, 500, "USD", 1), (3, 2, 3, 7, "BTC", 2), (3, 3, 0, 900, "USD", 3)]
+    ROWS = [(0, 4, 7, 30, "USD", 50), (0, 4, 7, 90, "USD", 20), (1, 7, 9, 60, "USD", 10), (2, 9, 9, 500, "USD", 5), (3, 9, 4, 2, "BTC", 8), (3, 7, 4, 600, "USD", 9)]
 
     def test_collapse(self, spark):
         edges = snap.snapshots(transactions(spark, self.ROWS), 3)
         day0 = edges.where("day_idx = 0").collect()
-        assert len(day0) == 1 and (day0[0].tx_count, day0[0].w_amount, day0[0].last_ts) == (2, 400.0, 500)
+        assert len(day0) == 1 and (day0[0].tx_count, day0[0].w_amount, day0[0].last_ts) == (2, 120.0, 50)
         assert edges.where("day_idx = 3").count() == 4 and edges.where("src = dst").count() == 0
-        assert snap.snapshots(transactions(spark, self.ROWS), 3, 1).where("day_idx = 1").collect()[0].w_amount == 200.0
+        assert snap.snapshots(transactions(spark, self.ROWS), 3, 1).where("day_idx = 1").collect()[0].w_amount == 60.0
         assert snap.snapshots(transactions(spark, self.ROWS), 3, 1).where("day_idx = 2").count() == 0
 
     def test_medians_and_normalised_weights(self, spark):
         rows = snap.graph_rows(transactions(spark, self.ROWS))
-        medians = {r.currency: r.median for r in snap.currency_medians(rows).collect()}
-        assert medians == {"USD": 250.0, "BTC": 7.0}
+        assert {r.currency: r.median for r in snap.currency_medians(rows).collect()} == {"USD": 75.0, "BTC": 2.0}
         e = {(r.src, r.dst): r for r in snap.snapshots(transactions(spark, self.ROWS), 3).where("day_idx = 3").collect()}
-        assert e[3, 0].w_amount / e[2, 3].w_amount > 100 and 0.1 < e[3, 0].w_norm / e[2, 3].w_norm < 10
+        assert (e[7, 4].w_norm, e[9, 4].w_norm, e[4, 7].w_norm) == (8.0, 1.0, 1.6)
+
+    def test_weights_by_kind(self, spark):
+        edges = snap.snapshots(transactions(spark, self.ROWS), 0)
+        assert [snap.weights(edges, k).first().weight for k in ("amount", "amount_norm", "tx_count")] == [120.0, 2.0, 2.0]
+        with pytest.raises(ValueError):
+            snap.weights(edges, "colour")
 
     @pytest.mark.parametrize("day, lookback, days", [(5, 3, [3, 4, 5]), (5, 1, [5]), (9, 7, list(range(3, 10))), (1, 7, [0, 1]), (5, None, list(range(6)))])
     def test_windows(self, spark, day, lookback, days):
@@ -157,25 +180,39 @@ class TestSnapshots:
 
 class TestGraph:
     def test_stats(self, spark):
-        s = {r.node: r for r in graph.node_stats(edge_table(spark, TRIANGLES)).collect()}
-        assert [s[i].out_degree for i in range(6)] == [1, 1, 2, 1, 1, 1] and [s[i].in_degree for i in range(6)] == [1, 1, 1, 2, 1, 1]
-        assert [s[i].out_strength for i in range(6)] == [10, 10, 11, 10, 10, 10] and [s[i].in_tx for i in range(6)] == [1, 1, 2, 2, 3, 1]
-        assert 6 not in s
-
-    def test_pagerank(self, spark):
-        e = edge_table(spark, TRIANGLES)
-        p = {r.node: r["rank"] for r in graph.pagerank(e, 7, rounds=60).collect()}
-        matrix = np.zeros((7, 7))
-        for a, b, w, _ in TRIANGLES:
+        s = {r.node: r for r in graph.node_stats(edge_table(spark, RINGS)).collect()}
+        assert [s[i].out_degree for i in range(8)] == [2, 2, 1, 2, 2, 2, 1, 1] and [s[i].in_degree for i in range(8)] == [1, 1, 2, 2, 2, 1, 2, 2]
+        assert [s[i].out_strength for i in range(8)] == [16, 16, 8, 9, 16, 16, 8, 8] and [s[i].in_tx for i in range(8)] == [1, 1, 3, 2, 2, 3, 2, 2]
+        assert 8 not in s
+
+    @pytest.mark.parametrize("edges", [RINGS, [(0, 1, 3, 1), (2, 1, 1, 1), (1, 3, 2, 1)]])
+    def test_pagerank(self, spark, edges):
+        """Against power iteration on the whole matrix, with nodes that dangle in the second graph."""
+        e = edge_table(spark, edges)
+        p = {r.node: r["rank"] for r in graph.pagerank(e, 9).collect()}
+        matrix = np.zeros((9, 9))
+        for a, b, w, _ in edges:
             matrix[b, a] += w
         total = matrix.sum(0)
-        matrix = np.where(total > 0, matrix / np.where(total > 0, total, 1), 1 / 7)
-        x = np.full(7, 1 / 7)
+        matrix = np.where(total > 0, matrix / np.where(total > 0, total, 1), 1 / 9)
+        x = np.full(9, 1 / 9)
         for _ in range(300):
-            x = 0.15 / 7 + 0.85 * matrix @ x
-        assert np.allclose([p[i] for i in range(6)], x[:6], atol=1e-4) and p[3] > p[4] and p[3] > p[5]
-        unweighted = {r.node: r["rank"] for r in graph.pagerank(e, 7, weight=None, rounds=60).collect()}
-        assert abs(unweighted[3] - p[3]) > 1e-3
+            x = 0.15 / 9 + 0.85 * matrix @ x
+        assert all(math.isclose(p[i], x[i], abs_tol=1e-9) for i in p)
+        for rounds in (1, 6):
+            a, b = ({r.node: r["rank"] for r in backends.kernels(k).pagerank(e, 9, rounds).collect()} for k in ("plans", "arrays"))
+            assert a.keys() == b.keys() and all(math.isclose(a[i], b[i], rel_tol=1e-12) for i in a)
+
+    def test_weights_matter(self, spark):
+        e = edge_table(spark, RINGS)
+        weighted, plain = ({r.node: r["rank"] for r in graph.pagerank(e, 9, weight=w, rounds=12).collect()} for w in ("w_norm", None))
+        assert plain[4] > weighted[4] + 1e-3  # the light edge counts as much as the others
+
+    def test_kernels_by_name(self):
+        with pytest.raises(ValueError):
+            backends.kernels("nope")
+        with pytest.raises(ValueError):
+            backends.register("plans", backends.kernels("arrays"))
 
     def test_self_loops_are_rejected(self, spark):
         with pytest.raises(PySparkException):
@@ -184,10 +221,10 @@ class TestGraph:
             graph.check_edges(edge_table(spark, [(1, 9, 1, 1)]), 5).collect()
 
     def test_communities(self, spark):
-        c = {r.node: r.community for r in communities(edge_table(spark, TRIANGLES)).collect()}
-        assert c[0] == c[1] == c[2] != c[3] == c[4] == c[5]
+        c = {r.node: r.community for r in communities(edge_table(spark, RINGS)).collect()}
+        assert c[0] == c[1] == c[2] == c[3] != c[4] == c[5] == c[6] == c[7]
         assert partition(np.array([0]), np.array([1]), np.array([1.0])).tolist() in ([0, 0], [1, 1])
-        agree = graph.partition_agreement(*(spark.createDataFrame([(n, k) for n, k in c.items()], "node long, community long") for _ in "ab"), spark.createDataFrame([(0, 1), (1, 4)], "x long, y long")).first()
+        agree = graph.partition_agreement(*(spark.createDataFrame(list(c.items()), "node long, community long") for _ in "ab"), spark.createDataFrame([(0, 1), (1, 4)], "x long, y long")).first()
         assert (agree.agreement, agree.n_pairs) == (1.0, 2)
 
     def test_ego(self, spark):
@@ -378,19 +415,21 @@ class TestAssembly:
     def test_matrix(self, spark):
         tx = transactions(spark, [(i // 4, i % 4, (i * 3 + 1) % 5, 10 * i + 5, "USD", i * 60) for i in range(24)])
         config = Config({"features": {"enabled_groups": ["tabular", "streaming"]}})
-        m, declared = assemble(tx, config, 5)
-        assert len(declared) == 49
-        check_matrix(m, tx, declared)
+        m, manifest = assemble(tx, config, 5)
+        assert len(manifest) == 49
+        check_matrix(m, tx, manifest)
         with pytest.raises(AssertionError):
-            check_matrix(m.limit(3), tx, declared)
+            check_matrix(m.limit(3), tx, manifest)
         with pytest.raises(ValueError):
             assemble(tx, Config({"features": {"enabled_groups": []}}), 5)
 
     def test_registry(self):
         with pytest.raises(ValueError):
-            register(Block("tabular", (), lambda c: c.tx))
+            BLOCKS.add("tabular", Block(declared([], "row")))
+        with pytest.raises(ValueError):
+            declared(["x"], "row", "sometimes")
         with pytest.raises(ValueError):
-            FeatureSpec("x", "row", null_policy="sometimes")
+            declared(["x"], "hearsay")
         with pytest.raises(KeyError):
             ladder.chosen(["nope"])
         assert ladder.chosen(["gbt", "decision_tree"]) == ["decision_tree", "gbt"]

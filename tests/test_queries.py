@@ -37,7 +37,7 @@ def test_oracle(spark, duck, name):
     assert got == expected
 
 
-@pytest.mark.parametrize("name", ["gr3_louvain", "gr9_sampled_subgraph", "as4_manifest", "ev5_bootstrap", "as1_arm_e3"])
+@pytest.mark.parametrize("name", ["gr3_louvain", "gr9_sampled_subgraph", "as4_manifest", "ev5_bootstrap", "as1_feature_matrix"])
 def test_rows(spark, name):
     assert engine.QUERIES[name](spark, FOLDER).count() > 0
 

@@ -35,3 +35,13 @@ def wilson(successes: Column, n: Column, z: float = Z95) -> tuple[Column, Column
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
     guarded = lambda x: F.when(n > 0, x)
     return guarded(F.greatest(F.lit(0.0), middle - half)), guarded(F.least(F.lit(1.0), middle + half))
+
+
+def alphabet_mask(code: Column) -> Column:
+    """The bit of a value of a small alphabet (64 values at most), by its code."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), code.cast("int"))
+
+
+def mask_size(mask: Column) -> Column:
+    """How many values a mask, made by bitwise or of their bits, has."""
+    return F.bit_count(mask)

@@ -122,6 +122,12 @@ def typology_recall(scored: DataFrame, typology: DataFrame, threshold: DataFrame
     return found.withColumn("recall", F.col("n_detected") / F.col("n_positives")).withColumn("recall_lo", lo).withColumn("recall_hi", hi)
 
 
+def presented(recalls: DataFrame) -> DataFrame:
+    """TOP4: families in the order they are shown: by size, the positives outside all families last. One row a family."""
+    order = W.orderBy((F.col("typology") == UNANNOTATED).cast("int"), F.desc("n_positives"), "typology")
+    return recalls.withColumn("place", F.row_number().over(order))
+
+
 def compare_at_budget(arms: dict[str, DataFrame], typology: DataFrame, budget: int) -> DataFrame:
     """EV9: typology_recall of every arm at its own threshold for one budget of alerts."""
     parts = [typology_recall(s, typology, kth_score(s, budget)).withColumn("arm", F.lit(arm)) for arm, s in arms.items()]

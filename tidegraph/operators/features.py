@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegraph.functions.scalars import cents, ratio, signed_log1p, trailing_zeros
 from tidegraph.operators.graph import neighbour_pairs, node_stats, pagerank, rank_percent
-from tidegraph.operators.ingest import aligned_codes
 
 REPORTING_LIMIT = 10_000
 BAND = (9_000, 10_000)
@@ -20,27 +19,39 @@ ENDS = {"src": "src_node", "dst": "dst_node"}
 # Row-local features -----------------------------------------------------------------------------------------------------
 
 
-def codes(tx: DataFrame, column: str) -> DataFrame:
-    """TB4-TB6: value and its position among the sorted distinct values of the column."""
-    return aligned_codes(tx, [column])
+CODED = {"currency_paid": "currency_paid_code", "currency_received": "currency_received_code", "payment_format": "payment_format_code"}
+ROW_LOCAL = [
+    "log_amount_paid", "log_amount_received", "amount_mismatch_ratio", "currency_paid_code", "currency_received_code", "payment_format_code", "is_cross_currency", "is_cross_bank", "is_self_loop", "hour_of_day",
+    "day_of_week", "is_off_hours", "is_round_100", "is_round_1000", "trailing_zero_count", "threshold_distance", "below_threshold_band",
+]
 
 
-def tabular(tx: DataFrame) -> DataFrame:
-    """TB1-TB17. The code tables have one row a currency or format; Spark joins them as their size says."""
+def row_local() -> dict[str, Column]:
+    """TB1-TB3, TB7-TB17: the columns that a row gives by itself."""
     paid, received, hour = F.col("amount_paid"), F.col("amount_received"), F.hour("ts")
-    out = tx
-    for column, name in (("currency_paid", "currency_paid_code"), ("currency_received", "currency_received_code"), ("payment_format", "payment_format_code")):
-        table = codes(tx, column).select(F.col("value").alias(column), F.col("code").alias(name))
-        out = out.join(table, column, "left")
-    flag = lambda c: F.col(c).cast("int").alias(c)
-    return out.select(
-        "tx_id", F.log1p(paid).alias("log_amount_paid"), F.log1p(received).alias("log_amount_received"), ratio(received, paid).alias("amount_mismatch_ratio"),
-        "currency_paid_code", "currency_received_code", "payment_format_code", flag("is_cross_currency"), flag("is_cross_bank"), flag("is_self_loop"),
-        hour.alias("hour_of_day"), F.weekday("ts").alias("day_of_week"), ((hour < HOURS[0]) | (hour >= HOURS[1])).cast("int").alias("is_off_hours"),
-        (cents(paid) % 10_000 == 0).cast("int").alias("is_round_100"), (cents(paid) % 100_000 == 0).cast("int").alias("is_round_1000"),
-        trailing_zeros(paid).alias("trailing_zero_count"), signed_log1p(paid - REPORTING_LIMIT).alias("threshold_distance"),
-        ((paid >= BAND[0]) & (paid < BAND[1])).cast("int").alias("below_threshold_band"),
-    )
+    flag = lambda c: F.col(c).cast("int")
+    return {
+        "log_amount_paid": F.log1p(paid), "log_amount_received": F.log1p(received), "amount_mismatch_ratio": ratio(received, paid),
+        "is_cross_currency": flag("is_cross_currency"), "is_cross_bank": flag("is_cross_bank"), "is_self_loop": flag("is_self_loop"),
+        "hour_of_day": hour, "day_of_week": F.weekday("ts"), "is_off_hours": ((hour < HOURS[0]) | (hour >= HOURS[1])).cast("int"),
+        "is_round_100": (cents(paid) % 10_000 == 0).cast("int"), "is_round_1000": (cents(paid) % 100_000 == 0).cast("int"),
+        "trailing_zero_count": trailing_zeros(paid), "threshold_distance": signed_log1p(paid - REPORTING_LIMIT), "below_threshold_band": ((paid >= BAND[0]) & (paid < BAND[1])).cast("int"),
+    }
+
+
+def coded(tx: DataFrame) -> DataFrame:
+    """TB4-TB6: adds the position of each value among the sorted distinct values of its column. The alphabets of currencies and formats are one row."""
+    alphabets = tx.agg(*(F.array_sort(F.collect_set(c)).alias(f"__{c}") for c in CODED))
+    joined = tx.crossJoin(F.broadcast(alphabets))
+    return joined.withColumns({name: F.array_position(f"__{c}", F.col(c)) - 1 for c, name in CODED.items()}).drop(*(f"__{c}" for c in CODED))
+
+
+def tabular(tx: DataFrame, keep: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """TB1-TB17, or some of them, beside the columns to keep (tx_id): one projection, and one row joined if codes are asked for."""
+    wanted = ROW_LOCAL if columns is None else columns
+    own = row_local()
+    rows = coded(tx) if set(CODED.values()) & set(wanted) else tx
+    return rows.select(*(keep or ["tx_id"]), *((own[c].alias(c) if c in own else F.col(c)) for c in wanted))
 
 
 # Account state ----------------------------------------------------------------------------------------------------------
@@ -120,8 +131,9 @@ def ego(edges: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
 
 def centrality(stats: DataFrame) -> DataFrame:
     """SC3, SC4: degrees over the number of active nodes less one."""
-    others = F.greatest(F.count("*").over(W.partitionBy("day_idx")) - 1, F.lit(1))
-    return stats.select("day_idx", "node", (F.col("in_degree") / others).alias("in_degree_centrality"), (F.col("out_degree") / others).alias("out_degree_centrality"))
+    days = stats.groupBy("day_idx").agg(F.greatest(F.count("*") - 1, F.lit(1)).alias("others"))  # a row a day
+    others = F.col("others")
+    return stats.join(F.broadcast(days), "day_idx").select("day_idx", "node", (F.col("in_degree") / others).alias("in_degree_centrality"), (F.col("out_degree") / others).alias("out_degree_centrality"))
 
 
 def community_stats(edges: DataFrame, communities: DataFrame) -> DataFrame:

@@ -93,6 +93,35 @@ def validate(tx: DataFrame, expected: dict[str, int] | None = None) -> DataFrame
     return facts
 
 
+def profile(tx: DataFrame) -> DataFrame:
+    """AGG7: facts of the summary by name: distinct banks, days, rows of each payment format and of each day. name, value; a few rows."""
+    banks = tx.select(F.explode(F.array("src_bank", "dst_bank")).alias("b")).agg(F.countDistinct("b").alias("n"))
+    days = tx.agg((F.max("day_idx") + 1).cast("long").alias("n"))
+    by = lambda c, prefix: tx.groupBy(F.concat(F.lit(prefix), F.col(c).cast("string")).alias("name")).agg(F.count("*").alias("value"))
+    one = lambda df, name: df.select(F.lit(name).alias("name"), F.col("n").alias("value"))
+    return one(banks, "banks").unionAll(one(days, "days")).unionAll(by("payment_format", "format ")).unionAll(by("day_idx", "day "))
+
+
+def coverage(patterns: DataFrame, tx: DataFrame, linked: DataFrame, typology: DataFrame) -> DataFrame:
+    """AGG8: name, value of every fact about the linking of annotated rows. patterns: pattern_row, KEY; linked: pattern_row, tx_id; typology: tx_id, attempt_id, typology."""
+    count = lambda df, name, x=F.count("*"): df.agg(x.cast("double").alias("value")).select(F.lit(name).alias("name"), "value")
+    illicit, annotated = F.sum("label"), F.count("tx_id")
+    both = tx.agg(illicit.alias("i")).join(linked.agg(annotated.alias("a")))
+    ratio_of = F.when(F.col("i") > 0, F.col("a") / F.col("i")).otherwise(0.0)
+    whole = lambda name, x: both.select(F.lit(name).alias("name"), x.cast("double").alias("value"))
+    by = lambda prefix, x: typology.groupBy(F.concat(F.lit(prefix), "typology").alias("name")).agg(x.cast("double").alias("value"))
+    parts = [
+        count(patterns, "pattern_rows"), count(typology, "attempts", F.countDistinct("attempt_id")), count(linked, "matched", annotated), count(linked, "unmatched", F.count_if(F.col("tx_id").isNull())),
+        count(patterns, "unknown_node_rows", F.count_if((F.col("src_node") < 0) | (F.col("dst_node") < 0))), count(ambiguous(patterns, tx), "ambiguous_keys"), count(licit_collisions(patterns, tx), "licit_collisions"),
+        whole("illicit", F.col("i")), whole("annotated", F.col("a")), whole("unannotated", F.col("i") - F.col("a")), whole("coverage", ratio_of),
+        by("rows ", F.count("*")), by("attempts ", F.countDistinct("attempt_id")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
 def backwards(tx: DataFrame) -> DataFrame:
     """FLT8: how many rows are earlier than the one before, by tx_id; 0 is right. Rows are compared within ranges of ids and across their borders."""
     block = F.expr("tx_id div 100000")

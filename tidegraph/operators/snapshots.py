@@ -10,6 +10,13 @@ from tidegraph.functions.scalars import cents
 WEIGHTS = {"amount": "w_amount", "amount_norm": "w_norm", "tx_count": "tx_count"}
 
 
+def weights(edges: DataFrame, kind: str) -> DataFrame:
+    """PRJ7: day_idx, src, dst and the weight of that kind."""
+    if kind not in WEIGHTS:
+        raise ValueError(f"no weight {kind}; there are {sorted(WEIGHTS)}")
+    return edges.select("day_idx", "src", "dst", F.col(WEIGHTS[kind]).cast("double").alias("weight"))
+
+
 def graph_rows(tx: DataFrame, max_day: int | None = None) -> DataFrame:
     """FLT1, FLT2: what may become an edge: not a self-loop, within the modelling window."""
     rows = tx.where(~F.col("is_self_loop"))

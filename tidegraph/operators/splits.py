@@ -42,6 +42,13 @@ def check_contract(split: DataFrame) -> None:
         raise ValueError("a transaction is in two splits")
 
 
+def span_counts(tx: DataFrame, typology: DataFrame, first_days: list[int]) -> DataFrame:
+    """AGG21: for each boundary, given by the first day after it: attempts that have rows on both sides of it."""
+    spans = typology.join(tx.select("tx_id", "day_idx"), "tx_id").groupBy("attempt_id").agg(F.min("day_idx").alias("first"), F.max("day_idx").alias("last"))
+    at = F.explode(F.array(*map(F.lit, first_days))).alias("boundary")
+    return spans.select("*", at).groupBy("boundary").agg(F.count_if((F.col("first") < F.col("boundary")) & (F.col("last") >= F.col("boundary"))).alias("n_straddling"), F.count("*").alias("n_attempts"))
+
+
 def straddling(split: DataFrame, typology: DataFrame) -> DataFrame:
     """SP3: attempts in train and in val or test; none is right after the purge."""
     attempts = split.join(typology.select("tx_id", "attempt_id"), "tx_id")

@@ -61,9 +61,10 @@ def wilson(k: str, n: str) -> tuple[str, str]:
     return f"CASE WHEN {n} > 0 THEN greatest(0.0, {middle} - {half}) END", f"CASE WHEN {n} > 0 THEN least(1.0, {middle} + {half}) END"
 
 
-def pagerank(rounds: int, n: str = "2000") -> str:
+def pagerank(rounds: int, n: str = "(SELECT n FROM nn)") -> str:
     """Power iteration, each round a CTE of its own."""
     parts = [
+        "nn AS (SELECT max(greatest(src_node, dst_node)) + 1.0::DOUBLE AS n FROM ev)",
         "pn AS (SELECT DISTINCT day_idx, node FROM (SELECT day_idx, src AS node FROM ed UNION SELECT day_idx, dst FROM ed))",
         "po AS (SELECT day_idx, src, sum(w_norm) AS total FROM ed GROUP BY ALL)",
         "ps AS MATERIALIZED (SELECT ed.day_idx, ed.src, ed.dst, w_norm / total AS share FROM ed JOIN po ON ed.day_idx = po.day_idx AND ed.src = po.src)",

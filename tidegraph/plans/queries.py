@@ -8,21 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegraph.functions.scalars import cents, wilson
+from tidegraph.functions.scalars import alphabet_mask, cents, mask_size, wilson
 from tidegraph.operators import evaluate as ev
 from tidegraph.operators import features as feats
-from tidegraph.operators import graph, ingest, models, splits
+from tidegraph.operators import backends, graph, ingest, models, splits
 from tidegraph.operators import snapshots as snap
 from tidegraph.operators.louvain import communities
 from tidegraph.plans import assemble as asm
 from tidegraph.plans import oracle as o
 from tidegraph.plans.config import Config
-from tidegraph.sources.views import event_scores, event_typology, family, table, txn_events, txn_sales
+from tidegraph.sources.views import event_scores, event_stream, event_typology, family, node_space, table, txn_events, txn_sales
+from tidegraph.streaming import account_stream as st
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-N_NODES = 2000  # node space of the event graph: users and counterparties are below it at every scale
 UNIT = "payment_format"  # the unit of account of the event graph, of which there are several
 
 
@@ -105,7 +105,7 @@ def _(s, d):
 
 
 def _accounts(s: SparkSession, d: str) -> DataFrame:
-    return ingest.endpoints(txn_sales(s, d), ["src_bank", "src_node"], ["dst_bank", "dst_node"], ["bank", "acct"])
+    return ingest.endpoints(txn_sales(s, d, False), ["src_bank", "src_node"], ["dst_bank", "dst_node"], ["bank", "acct"])
 
 
 @query("set1_distinct_nodes", f"WITH {o.SALES}, {o.BANKS} SELECT bank, acct FROM bk")
@@ -139,7 +139,7 @@ def _(s, d):
 
 @query("set7_shared_codes", f"WITH {o.SALES} SELECT value, row_number() OVER (ORDER BY value) - 1 AS code FROM (SELECT currency_paid AS value FROM sa UNION SELECT currency_received FROM sa)")
 def _(s, d):
-    return ingest.aligned_codes(txn_sales(s, d), ["currency_paid", "currency_received"])
+    return ingest.aligned_codes(txn_sales(s, d, False), ["currency_paid", "currency_received"])
 
 
 @query(
@@ -149,7 +149,7 @@ def _(s, d):
     (SELECT count(*) FROM (SELECT src_node FROM sa UNION SELECT dst_node FROM sa)) AS n_nodes FROM sa""",
 )
 def _(s, d):
-    return ingest.validate(txn_sales(s, d))
+    return ingest.validate(txn_sales(s, d, False))
 
 
 # Annotated rows ---------------------------------------------------------------------------------------------------------
@@ -239,7 +239,7 @@ def _(s, d):
 
 @query("agg1_sales_collapse", f"WITH {o.SALES} SELECT src_node AS src, dst_node AS dst, sum(cents)::BIGINT / 100 AS w_amount, count(*) AS tx_count, max(secs) AS last_ts FROM sa WHERE src_node <> dst_node GROUP BY ALL")
 def _(s, d):
-    rows = snap.graph_rows(txn_sales(s, d)).withColumn("amount_norm", F.lit(1.0))
+    rows = snap.graph_rows(txn_sales(s, d, False)).withColumn("amount_norm", F.lit(1.0))
     return snap.collapse_edges(rows).drop("w_norm")
 
 
@@ -302,7 +302,7 @@ def _(s, d):
 
 @query("gr7_checked_edges", f"WITH {o.GRAPH} SELECT count(*) AS n, sum(src)::BIGINT AS src FROM ed")
 def _(s, d):
-    return graph.check_edges(edges(s, d), N_NODES).agg(F.count("*").alias("n"), F.sum("src").alias("src"))
+    return graph.check_edges(edges(s, d), node_space(txn_events(s, d))).agg(F.count("*").alias("n"), F.sum("src").alias("src"))
 
 
 @query("gr9_sampled_subgraph")
@@ -318,12 +318,12 @@ def _(s, d):
 
 @query("gr1_pagerank_k20", f"WITH {o.GRAPH}, {o.pagerank(20)} SELECT day_idx, node, round(rank, 9) AS rank FROM r20")
 def _(s, d):
-    return graph.pagerank(edges(s, d), N_NODES, rounds=20).withColumn("rank", F.round("rank", 9))
+    return graph.pagerank(edges(s, d), node_space(txn_events(s, d)), rounds=20).withColumn("rank", F.round("rank", 9))
 
 
 @query("gr1_pagerank_converged")
 def _(s, d):
-    return graph.pagerank(edges(s, d).where("day_idx = 9"), N_NODES)
+    return graph.pagerank(edges(s, d), node_space(txn_events(s, d)))
 
 
 @query("win4_rank_pct", f"WITH {o.GRAPH}, {o.STATS} SELECT day_idx, node, round((row_number() OVER (PARTITION BY day_idx ORDER BY in_tx, node) - 1) / greatest(count(*) OVER (PARTITION BY day_idx) - 1, 1)::DOUBLE, 6) AS rank_pct FROM st")
@@ -441,32 +441,32 @@ def _(s, d):
 
 @query("tb_amounts", f"WITH {o.SALES} SELECT tx_id, round(ln(1 + paid), 6) AS log_amount_paid, round(ln(1 + received), 6) AS log_amount_received, round(CASE WHEN paid > 0 THEN received / paid END, 6) AS amount_mismatch_ratio FROM sa")
 def _(s, d):
-    return rounded(feats.tabular(txn_sales(s, d)).select("tx_id", "log_amount_paid", "log_amount_received", "amount_mismatch_ratio"), "log_amount_paid", "log_amount_received", "amount_mismatch_ratio")
+    return rounded(feats.tabular(txn_sales(s, d), columns=["log_amount_paid", "log_amount_received", "amount_mismatch_ratio"]), "log_amount_paid", "log_amount_received", "amount_mismatch_ratio")
 
 
 @query("tb_codes", f"WITH {o.SALES} SELECT tx_id, dense_rank() OVER (ORDER BY currency_paid) - 1 AS currency_paid_code, dense_rank() OVER (ORDER BY currency_received) - 1 AS currency_received_code, dense_rank() OVER (ORDER BY fmt) - 1 AS payment_format_code FROM sa")
 def _(s, d):
-    return feats.tabular(txn_sales(s, d)).select("tx_id", "currency_paid_code", "currency_received_code", "payment_format_code")
+    return feats.tabular(txn_sales(s, d), columns=["currency_paid_code", "currency_received_code", "payment_format_code"])
 
 
 @query("tb_calendar", f"WITH {o.EVENTS} SELECT tx_id, hour(ts) AS hour_of_day, (isodow(ts) - 1) AS day_of_week, (hour(ts) < 8 OR hour(ts) >= 18)::INTEGER AS is_off_hours FROM ev")
 def _(s, d):
-    return feats.tabular(txn_events(s, d)).select("tx_id", "hour_of_day", "day_of_week", "is_off_hours")
+    return feats.tabular(txn_events(s, d), columns=["hour_of_day", "day_of_week", "is_off_hours"])
 
 
 @query("tb_flags", f"WITH {o.SALES} SELECT tx_id, (src_node = dst_node)::INTEGER AS is_self_loop, (currency_paid <> currency_received)::INTEGER AS is_cross_currency, (src_bank <> dst_bank)::INTEGER AS is_cross_bank FROM sa")
 def _(s, d):
-    return feats.tabular(txn_sales(s, d)).select("tx_id", "is_self_loop", "is_cross_currency", "is_cross_bank")
+    return feats.tabular(txn_sales(s, d), columns=["is_self_loop", "is_cross_currency", "is_cross_bank"])
 
 
 @query("tb_round_numbers", f"WITH {o.SALES} SELECT tx_id, (cents % 10000 = 0)::INTEGER AS is_round_100, (cents % 100000 = 0)::INTEGER AS is_round_1000, CASE WHEN floor(abs(paid)) = 0 THEN 0 ELSE least(6, length(floor(abs(paid))::BIGINT::VARCHAR) - length(rtrim(floor(abs(paid))::BIGINT::VARCHAR, '0'))) END AS trailing_zero_count FROM sa")
 def _(s, d):
-    return feats.tabular(txn_sales(s, d)).select("tx_id", "is_round_100", "is_round_1000", "trailing_zero_count")
+    return feats.tabular(txn_sales(s, d), columns=["is_round_100", "is_round_1000", "trailing_zero_count"])
 
 
 @query("tb_threshold", f"WITH {o.SALES} SELECT tx_id, round(sign(paid - 10000) * ln(1 + abs(paid - 10000)), 6) AS threshold_distance, (paid >= 9000 AND paid < 10000)::INTEGER AS below_threshold_band FROM sa")
 def _(s, d):
-    return rounded(feats.tabular(txn_sales(s, d)).select("tx_id", "threshold_distance", "below_threshold_band"), "threshold_distance")
+    return rounded(feats.tabular(txn_sales(s, d), columns=["threshold_distance", "below_threshold_band"]), "threshold_distance")
 
 
 # Account state ----------------------------------------------------------------------------------------------------------
@@ -680,11 +680,24 @@ def _(s, d):
     return rounded(counts[0].join(counts[1]).select((1 - F.col("n_E2") / F.col("n_E1")).alias("reduction")), "reduction")
 
 
-@query("win9_walk_forward_verdict", "SELECT 0.26 AS mean_gap, 3 AS blocks_with_separation, 4 AS n_blocks, 0.07 AS frozen_first, 0.067 AS frozen_last, false AS frozen_declined, 'not decay' AS verdict FROM region LIMIT 1".replace("0.26 AS", "round(((0.07 - 0.07) + (0.42 - 0.066) + (0.49 - 0.066) + (0.49 - 0.067)) / 4, 6)::DOUBLE AS").replace("0.07 AS", "0.07::DOUBLE AS").replace("0.067 AS", "0.067::DOUBLE AS"))
+@query(
+    "win9_walk_forward_verdict",
+    f"""WITH {o.EVENTS}, {o.SCORES}, bl AS (SELECT day_idx // 2 AS block, 'retrained' AS arm, score, label FROM sc UNION ALL SELECT day_idx // 2, 'frozen', ((tx_id * 104729 + src_node * 7919 + label * 300) % 1000) / 1000.0::DOUBLE, label FROM sc),
+  cu AS (SELECT block, arm, score, sum(label)::BIGINT AS pos, count(*) AS n FROM bl GROUP BY ALL),
+  cv AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS flagged, sum(pos) OVER (PARTITION BY block, arm) AS np FROM cu WINDOW w AS (PARTITION BY block, arm ORDER BY score DESC)),
+  ap AS (SELECT block, arm, sum(pos * tp / flagged) / max(np) AS ap FROM cv GROUP BY block, arm),
+  wd AS (SELECT r.block, r.ap AS r, f.ap AS f FROM ap r JOIN ap f USING (block) WHERE r.arm = 'retrained' AND f.arm = 'frozen'),
+  su AS (SELECT avg(r - f) AS gap, count(*) FILTER (r - 0.01 > f + 0.01 OR f - 0.01 > r + 0.01) AS apart, count(*) AS n, arg_min(f, block) AS first, arg_max(f, block) AS last FROM wd)
+  SELECT round(gap, 6) AS mean_gap, apart AS blocks_with_separation, n AS n_blocks, round(first, 6) AS frozen_first, round(last, 6) AS frozen_last, last + 0.01 < first - 0.01 AS frozen_declined,
+    CASE WHEN apart = 0 THEN 'no separation' WHEN last + 0.01 < first - 0.01 THEN 'decay' ELSE 'not decay' END AS verdict FROM su""",
+)
 def _(s, d):
-    values = [(1, "frozen", 0.07), (2, "frozen", 0.066), (3, "frozen", 0.066), (4, "frozen", 0.067), (1, "retrained", 0.07), (2, "retrained", 0.42), (3, "retrained", 0.49), (4, "retrained", 0.49)]
-    given = s.createDataFrame([(b, a, v, v - 0.01, v + 0.01) for b, a, v in values], "block int, arm string, auprc double, auprc_lo double, auprc_hi double")
-    return rounded(ev.walk_forward_verdict(given), "mean_gap")
+    scored = splits.blocks(event_scores(txn_events(s, d)))
+    other = ((F.col("tx_id") * 104729 + F.col("src_node") * 7919 + F.col("label") * 300) % 1000) / 1000
+    both = scored.select("block", F.lit("retrained").alias("arm"), "score", "label").unionAll(scored.select("block", F.lit("frozen"), other, "label"))
+    each = ev.average_precision(both, ["block", "arm"]).withColumnRenamed("average_precision", "auprc")
+    found = ev.walk_forward_verdict(each.withColumn("auprc_lo", F.col("auprc") - 0.01).withColumn("auprc_hi", F.col("auprc") + 0.01))
+    return rounded(found, "mean_gap", "frozen_first", "frozen_last")
 
 
 # Presentation and exploration -------------------------------------------------------------------------------------------
@@ -729,10 +742,10 @@ def _(s, d):
     return rounded(x.join(F.broadcast(base)).withColumn("lift", F.col("rate") / F.when(F.col("base") > 0, F.col("base"))).drop("base"), "rate", "lift")
 
 
-@query("agg23_degree_percentiles", f"WITH {o.GRAPH}, {o.STATS} SELECT day_idx, round(avg(out_degree), 6) AS mean, max(out_degree) AS max, round(quantile_cont(out_degree, 0.5), 6) AS p50, round(quantile_cont(out_degree, 0.9), 6) AS p90, round(quantile_cont(out_degree, 0.99), 6) AS p99 FROM st GROUP BY day_idx")
+@query("agg23_degree_percentiles", f"WITH {o.GRAPH}, {o.STATS} SELECT day_idx, round(avg(out_degree), 6) AS mean, max(out_degree) AS max, round(quantile_cont(out_degree, 0.5), 6) AS p50, round(quantile_cont(out_degree, 0.9), 6) AS p90, round(quantile_cont(out_degree, 0.99), 6) AS p99, round(quantile_cont(out_degree, 0.999), 6) AS p999 FROM st GROUP BY day_idx")
 def _(s, d):
-    x = graph.node_stats(edges(s, d)).groupBy("day_idx").agg(F.avg("out_degree").alias("mean"), F.max("out_degree").alias("max"), *(F.percentile("out_degree", p).alias(f"p{round(100 * p)}") for p in (0.5, 0.9, 0.99)))
-    return rounded(x, "mean", "p50", "p90", "p99")
+    x = graph.node_stats(edges(s, d)).groupBy("day_idx").agg(F.avg("out_degree").alias("mean"), F.max("out_degree").alias("max"), *(F.percentile("out_degree", p).alias(name) for name, p in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99), ("p999", 0.999))))
+    return rounded(x, "mean", "p50", "p90", "p99", "p999")
 
 
 @query("agg24_histogram", f"WITH {o.EVENTS} SELECT floor(log10(amount) * 10)::BIGINT AS bin, label, count(*) AS n FROM ev WHERE amount > 0 GROUP BY ALL")
@@ -785,24 +798,107 @@ def small_config(**more) -> Config:
 
 def matrix(s, d, groups: list[str]) -> tuple[DataFrame, list[str]]:
     config = small_config(features={"enabled_groups": groups})
-    out, declared = asm.assemble(txn_events(s, d), config, N_NODES, unit=UNIT)
+    out, declared = asm.assemble(txn_events(s, d), config, node_space(txn_events(s, d)), unit=UNIT)
     return out, [x["column"] for x in declared]
 
 
-@query("as1_feature_matrix")
+@query("as1_feature_matrix")  # as1_matrix_fixed has SQL; this one has Louvain's communities and PageRank until it converges
 def feature_matrix(s, d):
     return matrix(s, d, ["tabular", "streaming", "structural", "motif"])[0]
 
 
-@query("as1_arm_e3")
+PLAIN_ZSCORE = """CASE WHEN count(*) OVER b < 2 THEN NULL WHEN sum(amount * amount) OVER b / count(*) OVER b - power(sum(cents) OVER b / 100 / count(*) OVER b, 2) <= 1e-12 THEN 0.0
+  ELSE (amount - sum(cents) OVER b / 100 / count(*) OVER b) / sqrt(greatest(sum(amount * amount) OVER b / count(*) OVER b - power(sum(cents) OVER b / 100 / count(*) OVER b, 2), 1e-12)) END"""
+STATE_SQL = {
+    "tx_count_in": N_IN, "tx_count_out": N_OUT, "volume_in": V_IN, "volume_out": V_OUT, "inout_volume_ratio": f"CASE WHEN {V_OUT} > 0 THEN ({V_IN}) / ({V_OUT}) END",
+    "secs_since_last_in": "secs - max(secs) FILTER (dir = 'in') OVER b", "secs_since_last_out": "secs - max(secs) FILTER (dir = 'out') OVER b", "turnover_latency": "last_value(gap IGNORE NULLS) OVER b",
+    "distinct_counterparties_in": "least(512, count(DISTINCT CASE WHEN dir = 'in' THEN other END) OVER b)", "distinct_counterparties_out": "least(512, count(DISTINCT CASE WHEN dir = 'out' THEN other END) OVER b)",
+    "unique_currencies_seen": "count(DISTINCT cur) OVER b", "unique_formats_seen": "count(DISTINCT fmt) OVER b", "mean_amount_in": f"({V_IN}) / nullif({N_IN}, 0)", "mean_amount_out": f"({V_OUT}) / nullif({N_OUT}, 0)",
+    "amount_zscore_vs_own_history": PLAIN_ZSCORE, "account_age_secs": "coalesce(secs - min(secs) OVER b, 0)",
+}
+ROW_SQL = {
+    "log_amount_paid": "ln(1 + amount)", "log_amount_received": "ln(1 + amount)", "amount_mismatch_ratio": "CASE WHEN amount > 0 THEN 1.0 END", "currency_paid_code": "0", "currency_received_code": "0",
+    "payment_format_code": "dense_rank() OVER (ORDER BY fmt) - 1", "is_cross_currency": "0", "is_cross_bank": "0", "is_self_loop": "self::INTEGER", "hour_of_day": "hour(ts)", "day_of_week": "isodow(ts) - 1",
+    "is_off_hours": "(hour(ts) < 8 OR hour(ts) >= 18)::INTEGER", "is_round_100": "(cents % 10000 = 0)::INTEGER", "is_round_1000": "(cents % 100000 = 0)::INTEGER",
+    "trailing_zero_count": "CASE WHEN floor(abs(amount)) = 0 THEN 0 ELSE least(6, length(floor(abs(amount))::BIGINT::VARCHAR) - length(rtrim(floor(abs(amount))::BIGINT::VARCHAR, '0'))) END",
+    "threshold_distance": "sign(amount - 10000) * ln(1 + abs(amount - 10000))", "below_threshold_band": "(amount >= 9000 AND amount < 10000)::INTEGER",
+}
+E3_SQL = f"""{o.state("ev", "'USD'", ", ".join(f"{x} AS {c}" for c, x in STATE_SQL.items()))},
+  ac AS (SELECT tx_id, {o.ends(list(STATE_SQL))} FROM s GROUP BY tx_id), ro AS (SELECT tx_id, {", ".join(f"{x} AS {c}" for c, x in ROW_SQL.items())} FROM ev)"""
+FIXED_ROUNDS = 10
+GRAPH_SQL = f"""{o.PAIRS}, {o.pagerank(FIXED_ROUNDS)}, cm AS (SELECT DISTINCT day_idx, node, node % 4 AS community FROM un), sz AS (SELECT day_idx, community, count(*) AS z FROM cm GROUP BY ALL),
+  ins AS (SELECT a.day_idx, a.community, count(*) AS k FROM un JOIN cm a ON un.day_idx = a.day_idx AND un.node = a.node JOIN cm b ON un.day_idx = b.day_idx AND un.other = b.node WHERE a.community = b.community AND un.node < un.other GROUP BY ALL),
+  dg AS (SELECT day_idx, node, count(*) AS k FROM un GROUP BY ALL),
+  eg AS (SELECT un.day_idx, un.node, count(*) AS ego_size, avg(dg.k) AS ego_mean_degree, max(dg.k) AS ego_max_degree, avg(r.rank) AS neighbour_pagerank_mean FROM un JOIN dg ON un.day_idx = dg.day_idx AND un.other = dg.node
+    JOIN r{FIXED_ROUNDS} r ON un.day_idx = r.day_idx AND un.other = r.node GROUP BY ALL),
+  p2 AS (SELECT a.day_idx, a.src AS i, b.dst AS j, count(*) AS n FROM ed a JOIN ed b ON a.day_idx = b.day_idx AND a.dst = b.src GROUP BY ALL),
+  c2 AS (SELECT a.day_idx, a.src AS node, count(*) AS n FROM ed a JOIN ed b ON a.day_idx = b.day_idx AND a.src = b.dst AND a.dst = b.src GROUP BY ALL),
+  c3 AS (SELECT p2.day_idx, p2.i AS node, sum(p2.n) AS n FROM p2 JOIN ed ON p2.day_idx = ed.day_idx AND p2.j = ed.src AND p2.i = ed.dst GROUP BY ALL),
+  c4 AS (SELECT x.day_idx, x.i AS node, sum(x.n * y.n)::BIGINT AS n FROM p2 x JOIN p2 y ON x.day_idx = y.day_idx AND x.i = y.j AND x.j = y.i GROUP BY ALL),
+  nd AS (SELECT st.day_idx, st.node, r.rank AS pagerank, (row_number() OVER (PARTITION BY st.day_idx ORDER BY r.rank, st.node) - 1) / greatest(count(*) OVER (PARTITION BY st.day_idx) - 1, 1)::DOUBLE AS pagerank_rank_pct,
+    st.in_degree / greatest(count(*) OVER (PARTITION BY st.day_idx) - 1, 1)::DOUBLE AS in_degree_centrality, st.out_degree / greatest(count(*) OVER (PARTITION BY st.day_idx) - 1, 1)::DOUBLE AS out_degree_centrality,
+    z AS community_size, CASE WHEN z < 2 THEN 0 ELSE coalesce(ins.k, 0) / (z * (z - 1) / 2) END AS community_density, ego_size, ego_mean_degree, ego_max_degree, neighbour_pagerank_mean, cm.community,
+    coalesce(c2.n, 0) AS cycle_2hop, coalesce(c3.n, 0) AS cycle_3hop, coalesce(c4.n, 0) AS cycle_4hop, CASE WHEN st.day_idx > 0 THEN st.out_degree - coalesce(p.out_degree, 0) END AS fanout_burst,
+    CASE WHEN st.day_idx > 0 THEN st.in_degree - coalesce(p.in_degree, 0) END AS fanin_burst, CASE WHEN st.day_idx > 0 THEN (st.out_degree - coalesce(p.out_degree, 0)) * (st.in_degree - coalesce(p.in_degree, 0)) END AS gather_scatter_score,
+    CASE WHEN st.in_strength > 0 THEN st.out_strength / st.in_strength END AS amount_conservation
+    FROM st JOIN r{FIXED_ROUNDS} r USING (day_idx, node) JOIN cm USING (day_idx, node) JOIN sz ON sz.day_idx = cm.day_idx AND sz.community = cm.community LEFT JOIN ins ON ins.day_idx = cm.day_idx AND ins.community = cm.community
+    JOIN eg USING (day_idx, node) LEFT JOIN c2 ON c2.day_idx = st.day_idx AND c2.node = st.node LEFT JOIN c3 ON c3.day_idx = st.day_idx AND c3.node = st.node LEFT JOIN c4 ON c4.day_idx = st.day_idx AND c4.node = st.node
+    LEFT JOIN st p ON p.day_idx = st.day_idx - 1 AND p.node = st.node),
+  aa AS (SELECT DISTINCT day_idx, src_node AS a, dst_node AS b FROM ev WHERE day_idx > 0),
+  cn AS (SELECT aa.day_idx, aa.a, aa.b, count(*) AS n FROM aa JOIN un x ON x.day_idx = aa.day_idx - 1 AND x.node = aa.a JOIN un y ON y.day_idx = x.day_idx AND y.node = aa.b AND y.other = x.other GROUP BY ALL)"""
+
+
+def _four(columns: list[str]) -> str:
+    """Columns of the matrix are single floats."""
+    return ", ".join(f"round(({c})::FLOAT::DOUBLE, 4) AS {c.rsplit('.', 1)[-1]}" for c in columns)
+
+
+_LAGGED = [*feats.STRUCTURE, *feats.MOTIFS]
+FIXED_SQL = f"""SELECT ev.tx_id, ev.day_idx, ev.label, ev.src_node, {_four([f"ac.{c}" for c in asm.both_ends(asm.STATE)])}, {_four([f"ro.{c}" for c in feats.ROW_LOCAL])},
+  {", ".join(f"round({e[0]}.{c}::FLOAT::DOUBLE, 4) AS {e}_{c}" for c in _LAGGED for e in feats.ENDS)}, (s.community = d.community)::INTEGER::DOUBLE AS same_community, (ev.day_idx = 0)::INTEGER::DOUBLE AS is_cold_start,
+  CASE WHEN s.node IS NOT NULL AND d.node IS NOT NULL THEN coalesce(cn.n, 0) END::DOUBLE AS common_neighbours
+  FROM ev JOIN ac USING (tx_id) JOIN ro USING (tx_id) LEFT JOIN nd s ON s.day_idx = ev.day_idx - 1 AND s.node = ev.src_node LEFT JOIN nd d ON d.day_idx = ev.day_idx - 1 AND d.node = ev.dst_node
+  LEFT JOIN cn ON cn.day_idx = ev.day_idx AND cn.a = ev.src_node AND cn.b = ev.dst_node"""
+
+
+def in_four(m: DataFrame) -> DataFrame:
+    return m.select(*asm.PASSTHROUGH, *(F.round(F.col(c).cast("double"), 4).alias(c) for c in m.columns[len(asm.PASSTHROUGH) :]))
+
+
+@query("as1_arm_e3", f"WITH {o.EVENTS}, {E3_SQL} SELECT ev.tx_id, ev.day_idx, ev.label, ev.src_node, {_four([f'ac.{c}' for c in asm.both_ends(asm.STATE)])}, {_four([f'ro.{c}' for c in feats.ROW_LOCAL])} FROM ev JOIN ac USING (tx_id) JOIN ro USING (tx_id)")
 def _(s, d):
-    return matrix(s, d, ["tabular", "streaming"])[0]
+    return in_four(matrix(s, d, ["tabular", "streaming"])[0])
+
+
+@query("as1_matrix_fixed", f"WITH {o.GRAPH}, {o.STATS}, {E3_SQL}, {GRAPH_SQL} {FIXED_SQL}")
+def _(s, d):
+    """All 86 columns, with fixed rounds of PageRank and given communities, which SQL can follow."""
+    given = lambda job: graph.active_nodes(job.edges).withColumn("community", F.col("node") % 4)
+    blocks = asm.BLOCKS.blocks | {"structural": asm.structural_block(FIXED_ROUNDS, given)}
+    return in_four(asm.assemble(txn_events(s, d), Config(), node_space(txn_events(s, d)), unit=UNIT, blocks=blocks)[0])
+
+
+@query("as2_keys_kept", f"WITH {o.EVENTS} SELECT count(*) AS n_rows, count(DISTINCT tx_id) AS n_keys, 0::BIGINT AS n_lost FROM ev")
+def _(s, d):
+    m, tx = matrix(s, d, ["tabular", "streaming"])[0], txn_events(s, d)
+    lost = tx.select("tx_id").exceptAll(m.select("tx_id")).agg(F.count("*").alias("n_lost"))
+    return m.agg(F.count("*").alias("n_rows"), F.countDistinct("tx_id").alias("n_keys")).join(F.broadcast(lost))
+
+
+@query("agg19_manifest_counts", "SELECT * FROM (VALUES ('tabular', 'row', 17::BIGINT, 1::BIGINT), ('streaming', 'state', 32, 14), ('structural', 'snapshot', 21, 21), ('structural', 'row', 1, 0), ('motif', 'snapshot', 15, 15)) t(block, source, n_columns, n_nullable)")
+def _(s, d):
+    return asm.manifest_counts(asm.manifest_frame(s, asm.BLOCKS.blocks))
+
+
+@query("top5_null_rates", f"WITH {o.GRAPH}, {o.STATS}, j AS (SELECT a.out_degree AS src_out_degree, b.out_degree AS dst_out_degree, a.in_degree AS src_in_degree, ev.day_idx FROM ev LEFT JOIN st a ON a.day_idx = ev.day_idx - 1 AND a.node = ev.src_node LEFT JOIN st b ON b.day_idx = ev.day_idx - 1 AND b.node = ev.dst_node), r AS (SELECT unnest(['src_out_degree', 'dst_out_degree', 'src_in_degree', 'day_idx']) AS \"column\", unnest([1 - count(src_out_degree) / count(*), 1 - count(dst_out_degree) / count(*), 1 - count(src_in_degree) / count(*), 1 - count(day_idx) / count(*)]) AS null_rate FROM j) SELECT \"column\", round(null_rate, 6) AS null_rate, 0::BIGINT AS n_infinite, place::INTEGER AS place FROM (SELECT *, row_number() OVER (ORDER BY round(null_rate, 9) DESC, \"column\") AS place FROM r) WHERE place <= 3")
+def _(s, d):
+    rates = asm.null_rates(lagged_degree(s, d), ["src_out_degree", "dst_out_degree", "src_in_degree", "day_idx"])
+    return rounded(asm.largest(rates.withColumn("null_rate", F.round("null_rate", 9)), "null_rate", "column", 3), "null_rate")
 
 
 @query("as4_manifest")
 def _(s, d):
-    rows = [tuple(str(v) for v in x.values()) for x in asm.manifest(asm.enabled_blocks(["tabular", "streaming", "structural", "motif"]))]
-    return s.createDataFrame(rows, "column string, block string, causality string, description string, dtype string, null_policy string")
+    return asm.manifest_frame(s, asm.BLOCKS.blocks)
 
 
 def split_matrix(s, d) -> tuple[DataFrame, list[str]]:
@@ -844,6 +940,155 @@ def _(s, d):
     config = small_config()
     model = models.fit("random_forest", rows.where("split = 'train'"), columns, config)
     sample = splits.stratified_sample(rows.where("split = 'test'"), 2000)
-    blocks = {c: b.name for b in asm.enabled_blocks(["tabular", "streaming"]) for c in (x.name for x in b.columns)}
-    groups = s.createDataFrame([(c, blocks[c]) for c in columns], "feature string, block string")
+    groups = s.createDataFrame(asm.block_columns(["tabular", "streaming"]), "feature string, block string")
     return ev.shares(models.attributions(model, sample, columns), groups)
+
+
+# More facts, agreement, presentation ------------------------------------------------------------------------------------
+
+
+@query("prj7_weights", f"WITH {o.GRAPH} SELECT day_idx, kind, round(sum(w), 4) AS total, count(*) AS n_edges FROM (SELECT day_idx, 'amount' AS kind, w_amount::DOUBLE AS w FROM ed UNION ALL SELECT day_idx, 'amount_norm', w_norm FROM ed UNION ALL SELECT day_idx, 'tx_count', tx_count FROM ed) GROUP BY ALL")
+def _(s, d):
+    e = edges(s, d)
+    parts = [snap.weights(e, k).groupBy("day_idx").agg(F.round(F.sum("weight"), 4).alias("total"), F.count("*").alias("n_edges")).withColumn("kind", F.lit(k)) for k in snap.WEIGHTS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("agg7_profile", f"WITH {o.SALES} SELECT 'banks' AS name, count(*) AS value FROM (SELECT src_bank FROM sa UNION SELECT dst_bank FROM sa) UNION ALL SELECT 'days', max(day_idx) + 1 FROM sa UNION ALL SELECT 'format ' || fmt, count(*) FROM sa GROUP BY fmt UNION ALL SELECT 'day ' || day_idx, count(*) FROM sa GROUP BY day_idx")
+def _(s, d):
+    return ingest.profile(txn_sales(s, d, False))
+
+
+@query(
+    "agg8_link_facts",
+    f"""WITH {o.EVENTS}, {o.TYPOLOGY}, {o.PATTERNS}, {ILLICIT}, p AS (SELECT *, row_number() OVER (PARTITION BY {KEY_SQL} ORDER BY pattern_row) AS occ FROM pa), t AS (SELECT *, row_number() OVER (PARTITION BY {KEY_SQL} ORDER BY tx_id) AS occ FROM il WHERE label = 1),
+    li AS (SELECT p.pattern_row, t.tx_id FROM p LEFT JOIN t USING ({KEY_SQL}, occ)), i AS (SELECT sum(label)::DOUBLE AS i FROM ev), a AS (SELECT count(tx_id)::DOUBLE AS a FROM li)
+    SELECT name, round(value, 6) AS value FROM (
+      SELECT 'pattern_rows' AS name, count(*)::DOUBLE AS value FROM pa UNION ALL SELECT 'attempts', count(DISTINCT attempt_id) FROM ty UNION ALL SELECT 'matched', a FROM a UNION ALL SELECT 'unmatched', count(*) FROM li WHERE tx_id IS NULL
+      UNION ALL SELECT 'unknown_node_rows', count(*) FROM pa WHERE src_node < 0 OR dst_node < 0
+      UNION ALL SELECT 'ambiguous_keys', count(*) FROM (SELECT {KEY_SQL}, count(*) AS n FROM pa GROUP BY ALL) x JOIN (SELECT {KEY_SQL}, count(*) AS m FROM il WHERE label = 1 GROUP BY ALL) y USING ({KEY_SQL}) WHERE m > n
+      UNION ALL SELECT 'licit_collisions', count(*) FROM pa WHERE EXISTS (SELECT 1 FROM il WHERE label = 0 AND {" AND ".join(f"il.{k.strip()} = pa.{k.strip()}" for k in KEY_SQL.split(","))})
+      UNION ALL SELECT 'illicit', i FROM i UNION ALL SELECT 'annotated', a FROM a UNION ALL SELECT 'unannotated', i - a FROM i, a UNION ALL SELECT 'coverage', a / i FROM i, a
+      UNION ALL SELECT 'rows ' || typology, count(*) FROM ty GROUP BY typology UNION ALL SELECT 'attempts ' || typology, count(DISTINCT attempt_id) FROM ty GROUP BY typology)""",
+)
+def _(s, d):
+    p, tx = patterns(s, d), txn_events(s, d)
+    return rounded(ingest.coverage(p, tx, ingest.link(p, tx), event_typology(tx)), "value")
+
+
+@query("agg21_straddling", f"WITH {o.EVENTS}, {o.TYPOLOGY}, sp AS (SELECT attempt_id, min(day_idx) AS a, max(day_idx) AS z FROM ty JOIN ev USING (tx_id) GROUP BY attempt_id) SELECT boundary, count(*) FILTER (a < boundary AND z >= boundary) AS n_straddling, count(*) AS n_attempts FROM sp, (SELECT unnest([6, 7])::INTEGER AS boundary) GROUP BY boundary")
+def _(s, d):
+    tx = txn_events(s, d)
+    return splits.span_counts(tx, event_typology(tx), [6, 7])
+
+
+@query("agg25_split_facts", f"WITH {o.EVENTS}, {o.TYPOLOGY} SELECT CASE WHEN day_idx <= 5 THEN 'train' WHEN day_idx = 6 THEN 'val' ELSE 'test' END AS split, count(*) AS n, round(count(*) FILTER (self) / count(*), 6) AS self_loop_share, round(count(ty.tx_id) / sum(label), 6) AS coverage FROM ev LEFT JOIN ty USING (tx_id) GROUP BY 1")
+def _(s, d):
+    tx = splits.assign(txn_events(s, d)).join(event_typology(txn_events(s, d)).select("tx_id", "attempt_id"), "tx_id", "left")
+    facts = tx.groupBy("split").agg(F.count("*").alias("n"), (F.count_if("is_self_loop") / F.count("*")).alias("self_loop_share"), (F.count("attempt_id") / F.sum("label")).alias("coverage"))
+    return rounded(facts, "self_loop_share", "coverage")
+
+
+@query("win4_pagerank_pct", f"WITH {o.GRAPH}, {o.pagerank(10)} SELECT day_idx, node, round(rank, 9) AS rank, round((row_number() OVER (PARTITION BY day_idx ORDER BY round(rank, 9), node) - 1) / greatest(count(*) OVER (PARTITION BY day_idx) - 1, 1)::DOUBLE, 6) AS rank_pct FROM r10")
+def _(s, d):
+    ranks = graph.pagerank(edges(s, d), node_space(txn_events(s, d)), rounds=10).withColumn("rank", F.round("rank", 9))
+    return rounded(graph.rank_percent(ranks).select("day_idx", "node", "rank", "rank_pct"), "rank_pct")
+
+
+@query("gr2_backend_agreement", f"WITH {o.GRAPH} SELECT day_idx, count(*) AS n_nodes, 0.0::DOUBLE AS max_difference, 1.0::DOUBLE AS rank_correlation, least(100, count(*)) AS top_overlap, 1::BIGINT AS hub_place FROM (SELECT day_idx, src FROM ed UNION SELECT day_idx, dst FROM ed) GROUP BY day_idx")
+def _(s, d):
+    e, n = edges(s, d), node_space(txn_events(s, d))
+    return rounded(backends.rank_agreement(*(backends.kernels(k).pagerank(e, n, 20) for k in ("plans", "arrays"))), "max_difference", "rank_correlation")
+
+
+@query(
+    "gr11_pagerank_and_degree",
+    f"""WITH {o.GRAPH}, {o.STATS}, {o.pagerank(10)}, x AS (SELECT day_idx, node, round(rank, 9) AS a, row_number() OVER (PARTITION BY day_idx ORDER BY round(rank, 9) DESC, node) AS pa FROM r10),
+  y AS (SELECT day_idx, node, in_degree AS b, row_number() OVER (PARTITION BY day_idx ORDER BY in_degree DESC, node) AS pb FROM st)
+  SELECT day_idx, count(*) AS n_nodes, round(max(abs(a - b)), 6) AS max_difference, round(corr(pa, pb), 6) AS rank_correlation, count(*) FILTER (pa <= 100 AND pb <= 100) AS top_overlap, max(pb) FILTER (pa = 1) AS hub_place FROM x JOIN y USING (day_idx, node) GROUP BY day_idx""",
+)
+def _(s, d):
+    e = edges(s, d)
+    ranks = graph.pagerank(e, node_space(txn_events(s, d)), rounds=10).withColumn("rank", F.round("rank", 9))
+    degrees = graph.node_stats(e).select("day_idx", "node", F.col("in_degree").cast("double").alias("rank"))
+    return rounded(backends.rank_agreement(ranks, degrees), "max_difference", "rank_correlation")
+
+
+@query("gr11_partition_agreement", f"WITH {o.GRAPH}, x AS (SELECT DISTINCT node FROM (SELECT src AS node FROM ed UNION SELECT dst FROM ed)), p AS (SELECT a.node AS x, b.node AS y FROM x a JOIN x b ON b.node = a.node + 1) SELECT round(avg(((x % 4 = y % 4) = (x // 2 = y // 2))::INTEGER), 6) AS agreement, count(*) AS n_pairs FROM p")
+def _(s, d):
+    nodes = graph.active_nodes(edges(s, d)).select("node").distinct()
+    pairs = nodes.select(F.col("node").alias("x"), (F.col("node") + 1).alias("y")).join(nodes.select(F.col("node").alias("y")), "y", "left_semi").select("x", "y")
+    return rounded(graph.partition_agreement(nodes.withColumn("community", F.col("node") % 4), nodes.withColumn("community", F.expr("node div 2")), pairs), "agreement")
+
+
+@query("top4_pinned_families", f"WITH {ARMS_SQL} SELECT typology, n_positives, n_detected, row_number() OVER (ORDER BY (typology = 'UNANNOTATED')::INTEGER, n_positives DESC, typology)::INTEGER AS place FROM re WHERE arm = 'E1'")
+def _(s, d):
+    scored = test_scores(s, d)
+    return ev.presented(ev.typology_recall(scored, event_typology(txn_events(s, d)), ev.kth_score(scored, 100))).select("typology", "n_positives", "n_detected", "place")
+
+
+@query("top5_attributions", f"WITH {o.GRAPH}, {o.STATS}, l AS (SELECT feature, avg(abs(value)) AS m FROM (SELECT day_idx, node, out_degree, in_degree, out_tx, in_tx FROM st) UNPIVOT (value FOR feature IN (out_degree, in_degree, out_tx, in_tx)) GROUP BY feature) SELECT feature, round(m, 6) AS mean_abs, round(m / (SELECT sum(m) FROM l), 6) AS share, place::INTEGER AS place FROM (SELECT *, row_number() OVER (ORDER BY round(m, 9) DESC, feature) AS place FROM l) WHERE place <= 2")
+def _(s, d):
+    long = graph.node_stats(edges(s, d)).unpivot(["day_idx", "node"], ["out_degree", "in_degree", "out_tx", "in_tx"], "feature", "value")
+    groups = s.createDataFrame([("out_degree", "ee"), ("in_degree", "ee"), ("out_tx", "tx"), ("in_tx", "tx")], "feature string, block string")
+    found = ev.shares(long, groups).select("feature", F.round("mean_abs", 9).alias("mean_abs"), "share")
+    return rounded(asm.largest(found, "mean_abs", "feature", 2), "mean_abs", "share")
+
+
+@query("jn17_named_alerts", f"SELECT t.*, src_node % 7 AS src_bank, 'A' || src_node AS src_acct, dst_node % 7 AS dst_bank, 'A' || dst_node AS dst_acct FROM ({ORACLES['ev13_alert_table']}) t")
+def _(s, d):
+    from tidegraph.plans.stages import named
+
+    nodes = s.range(node_space(txn_events(s, d))).select(F.col("id").alias("node_id"), (F.col("id") % 7).alias("bank"), F.concat(F.lit("A"), F.col("id").cast("string")).alias("acct"))
+    return named(QUERIES["ev13_alert_table"](s, d), nodes)
+
+
+@query("fn_bits", f"WITH {o.EVENTS}, c AS (SELECT src_node, dense_rank() OVER (ORDER BY fmt) - 1 AS code FROM ev) SELECT src_node, bit_or(1::BIGINT << code::INTEGER) AS formats, bit_count(bit_or(1::BIGINT << code::INTEGER))::INTEGER AS n_formats FROM c GROUP BY src_node")
+def _(s, d):
+    masks = feats.coded(txn_events(s, d)).groupBy("src_node").agg(F.bit_or(alphabet_mask(F.col("payment_format_code"))).alias("formats"))
+    return masks.withColumn("n_formats", mask_size(F.col("formats")).cast("int"))
+
+
+# Streams over the events' files, run until they have read all -----------------------------------------------------------
+
+DAILY = "epoch(date_trunc('day', ts))::BIGINT"
+
+
+def _windows(s, d, days: int) -> DataFrame:
+    found = st.run_available(st.stream_windows(event_stream(s, d), days), "complete")
+    return found.select(F.unix_timestamp("window_end").alias("window_end"), "src", "dst", "w_amount", "tx_count", "last_ts")
+
+
+@query("str_tumbling", f"WITH {o.EVENTS} SELECT {DAILY} + 86400 AS window_end, src_node AS src, dst_node AS dst, sum(cents)::BIGINT / 100 AS w_amount, count(*) AS tx_count, max(secs) AS last_ts FROM ev WHERE NOT self GROUP BY ALL")
+def _(s, d):
+    return _windows(s, d, 1)
+
+
+@query("str_sliding", f"WITH {o.EVENTS} SELECT {DAILY} + 86400 * k AS window_end, src_node AS src, dst_node AS dst, sum(cents)::BIGINT / 100 AS w_amount, count(*) AS tx_count, max(secs) AS last_ts FROM ev, (SELECT unnest([1, 2, 3]) AS k) WHERE NOT self GROUP BY ALL")
+def _(s, d):
+    return _windows(s, d, 3)
+
+
+@query("str_cumulative", f"WITH {o.EVENTS} SELECT src_node AS src, dst_node AS dst, sum(cents)::BIGINT / 100 AS w_amount, count(*) AS tx_count, max(secs) AS last_ts FROM ev WHERE NOT self GROUP BY ALL")
+def _(s, d):
+    return st.run_available(st.stream_totals(event_stream(s, d)), "complete")
+
+
+@query("str_session", f"""WITH {o.EVENTS}, x AS (SELECT *, epoch_us(ts) AS us FROM ev), g AS (SELECT *, CASE WHEN us - lag(us) OVER w > 7200000000 OR lag(us) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM x WINDOW w AS (PARTITION BY src_node ORDER BY us, tx_id)),
+  h AS (SELECT *, sum(fresh) OVER (PARTITION BY src_node ORDER BY us, tx_id) AS k FROM g) SELECT src_node, min(secs) AS first_secs, floor(max(us) / 1000000)::BIGINT + 7200 AS end_secs, count(*) AS tx_count, sum(cents)::BIGINT / 100 AS amount FROM h GROUP BY src_node, k""")
+def _(s, d):
+    return st.run_available(st.stream_sessions(event_stream(s, d)), "complete")
+
+
+@query("str_account_state", f"WITH {o.EVENTS}, {o.state('ev', chr(39) + 'USD' + chr(39), 'node, ' + ', '.join(f'{x} AS {c}' for c, x in STATE_SQL.items()))} SELECT tx_id, dir, node, {', '.join(f'round({c}, {4 if c[0] == chr(97) else 6}) AS {c}' if c in ('volume_in', 'volume_out', 'inout_volume_ratio', 'mean_amount_in', 'mean_amount_out', 'amount_zscore_vs_own_history') else c for c in STATE_SQL)} FROM s")
+def _(s, d):
+    found = st.run_available(st.stream_account_state(event_stream(s, d)))
+    found = rounded(found, "volume_in", "volume_out", "inout_volume_ratio", "mean_amount_in", "mean_amount_out")
+    return found.withColumn("amount_zscore_vs_own_history", F.round("amount_zscore_vs_own_history", 4))
+
+
+@query("str_asof_lag", ORACLES["jn12_lagged_degree"])
+def _(s, d):
+    stats = graph.node_stats(edges(s, d))
+    found = st.run_available(st.stream_lagged(event_stream(s, d), stats, ["out_degree", "in_degree"]))
+    return found.select("tx_id", "day_idx", *(f"{e}_{c}" for e in feats.ENDS for c in ("out_degree", "in_degree")))

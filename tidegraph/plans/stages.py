@@ -89,7 +89,7 @@ class Stages:
     def features(self, tx: DataFrame, n_nodes: int, edges: DataFrame | None = None) -> DataFrame:
         store = self.store("features", *FEATURES)
         rows = tx.where(F.col("day_idx") <= self.config["time"]["max_day"])
-        manifest = asm.manifest(asm.enabled_blocks(self.config["features"]["enabled_groups"]))
+        manifest = asm.manifest(asm.BLOCKS.chosen(self.config["features"]["enabled_groups"]))
         build = lambda: asm.assemble(rows, self.config, n_nodes, edges if self.config.needs_snapshots else None)[0]
         matrix = self._kept(store, "matrix", build)
         asm.check_matrix(matrix, rows, manifest)
@@ -98,7 +98,7 @@ class Stages:
 
     @property
     def columns(self) -> list[str]:
-        return [x["column"] for x in asm.manifest(asm.enabled_blocks(self.config["features"]["enabled_groups"]))]
+        return [column for column, _ in asm.block_columns(self.config["features"]["enabled_groups"])]
 
     def split(self, matrix: DataFrame, typology: DataFrame) -> DataFrame:
         time = self.config["time"]
@@ -161,7 +161,7 @@ class Stages:
         """EV12: mean absolute attribution of each feature, and the shares of features and blocks, over a sample of the test split."""
         split = self.split(matrix, typology)
         sample = splits.stratified_sample(split.where("split = 'test'"), size, self.config["seed"])
-        blocks = [(s.name, b.name) for b in asm.enabled_blocks(self.config["features"]["enabled_groups"]) for s in b.columns]
+        blocks = asm.block_columns(self.config["features"]["enabled_groups"])
         return ev.shares(models.attributions(self.model(name), sample, self.columns), self.spark.createDataFrame(blocks, "feature string, block string"))
 
     # 5: walk-forward

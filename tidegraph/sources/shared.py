@@ -12,25 +12,48 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """spark.checkpoint.dir, or a folder of our own where it is unset and Spark runs in this process alone (tests); on a cluster that is an error."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tidegraph-')}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder
 
 
+_made: list[str] = []
+
+
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """The same rows as a Parquet table in the shared folder: no lineage, a size the planner knows. Goes as the application ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidegraph-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    _made.append(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_made() -> int:
+    """How many tables written() has made: a mark for tables_since()."""
+    return len(_made)
+
+
+def tables_since(mark: int) -> list[str]:
+    return _made[mark:]
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of written() that nothing reads any more, and lets Spark find the shuffle files of plans that are gone."""
+    for path in paths:
+        _remove(spark, path)
+    if paths:
+        spark._jvm.System.gc()
+
+
 def drop_written(df: DataFrame) -> None:
     """Deletes the files of a table that written() made and nothing reads any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

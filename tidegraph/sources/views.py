@@ -42,8 +42,18 @@ def family(number: Column) -> Column:
     return F.get(F.array(*map(F.lit, FAMILIES)), number.cast("int"))
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """txn_events as a stream of the table's files."""
+    path = f"{sf_dir}/events.parquet"
+    # As a pattern, because a stream takes a plain path for a folder.
+    return events_as_transactions(spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/event[s].parquet"))
+
+
 def txn_events(spark: SparkSession, sf_dir: str, max_day: int | None = MAX_DAY) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return events_as_transactions(table(spark, sf_dir, "events"), max_day)
+
+
+def events_as_transactions(e: DataFrame, max_day: int | None = MAX_DAY) -> DataFrame:
     tx = e.select(
         F.col("event_id").alias("tx_id"), "ts", F.unix_timestamp(F.col("ts").cast("timestamp_ntz")).alias("secs"), day_index(F.col("ts"), "2024-01-01").alias("day_idx"),
         F.col("user_id").alias("src_node"), F.get_json_object("props", "$.k").cast("long").alias("dst_node"), F.col("value").alias("amount_paid"), F.col("value").alias("amount_received"),
@@ -54,8 +64,8 @@ def txn_events(spark: SparkSession, sf_dir: str, max_day: int | None = MAX_DAY)
     return tx if max_day is None else tx.where(F.col("day_idx") <= max_day)
 
 
-def txn_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as transactions: tx_id is the position in time, ties in the order of the other columns."""
+def txn_sales(spark: SparkSession, sf_dir: str, numbered: bool = True) -> DataFrame:
+    """Line items as transactions: tx_id is the position in time, ties in the order of the other columns. Numbering sorts and writes the table; without it there is no tx_id."""
     read = lambda name: table(spark, sf_dir, name)
     n_customers = read("customer").agg(F.count("*").alias("n_customers"))  # one row
     lines = (
@@ -77,8 +87,14 @@ def txn_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F") & (F.col("l_quantity") >= 45)).cast("int").alias("label"),
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
     )
-    placed = with_position(tx, ["ts", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "tx_id")
-    return flags(placed).select(*CANONICAL, "src_bank", "dst_bank", "l_orderkey")
+    if numbered:
+        tx = with_position(tx, ["ts", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "tx_id")
+    return flags(tx).select(*CANONICAL[0 if numbered else 1 :], "src_bank", "dst_bank", "l_orderkey")
+
+
+def node_space(tx: DataFrame) -> int:
+    """How many node ids there are: one more than the largest."""
+    return (tx.agg(F.max(F.greatest("src_node", "dst_node"))).first()[0] or 0) + 1
 
 
 def event_typology(tx: DataFrame) -> DataFrame:
