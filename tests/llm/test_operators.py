@@ -75,10 +75,12 @@ def test_blocks_of_the_benchmark_are_united(docs, shipped):
     parts = decontaminate.find_hits(texts, items, 3, "size2", block_words=4).orderBy("doc_id").collect()
     assert [r.size2 for r in whole] == [r.size2 for r in parts]
     hits = whole[-2].size2
-    assert (hits.n_words, hits.starts, hits.ends, hits["items"]) == (8, [1], [7], [1, 2])
+    assert (hits.n_words, hits.starts, hits.ends, hits["items"]) == (8, [1], [7], ["1", "2"])
     assert whole[-1].size2.starts == [0] and whole[-1].size2["items"] == []
     assert whole[0].size2.n_words == 0
     assert decontaminate.find_hits(texts, items.limit(0), 3).where("size(hits.starts) > 0").count() == 0
+    named = items.withColumn("item_id", F.concat(F.lit("q-"), "item_id"))
+    assert decontaminate.find_hits(texts, named, 3).orderBy("doc_id").collect()[-2].hits["items"] == ["q-1", "q-2"]
 
 
 def test_spans_are_cut_until_none_is_left(docs, shipped):

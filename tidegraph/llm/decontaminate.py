@@ -5,11 +5,11 @@ streamed through it: after each word the automaton holds the longest suffix of t
 that is a window long, the last ``window`` words are hit; the state of that window's class knows the items it occurs in.
 Items shorter than a window are windows of their own, marked at their states.
 
-The benchmark is taken in blocks of at most ``block_words`` words, each an automaton that is broadcast, so what is
-broadcast at a time is bounded whatever the benchmark's size; spans and items of the blocks are united.
+The benchmark is taken in blocks of at most ``block_words`` words, each an automaton that is broadcast by itself; spans and
+items of the blocks are united. Workers hold the automata of all blocks: memory grows with the benchmark, never with the documents.
 
 Null and empty texts have no words and no hits; null or wordless items have no windows, and an item whose id is null
-hits words but is not listed. Items that occur twice in the benchmark count once. Texts of any length are taken whole,
+hits words but is not listed; ids of any type are listed as text. Items that occur twice in the benchmark count once. Texts of any length are taken whole,
 in memory O(words). Columns of the input keep their names and values: results are single columns.
 """
 
@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 from tidegraph.llm.common import LOWER_ALNUM, text_bytes
 
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-HITS = "n_words long, starts array<int>, ends array<int>, items array<long>"
-_HITS = pa.struct([("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))])
+HITS = "n_words long, starts array<int>, ends array<int>, items array<string>"
+_HITS = pa.struct([("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
 
 
 class ItemAutomaton:
     """items: (id, text) of the benchmark."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], window: int) -> None:
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int) -> None:
         self.window = window
         self.number: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -45,15 +45,17 @@ class ItemAutomaton:
             last = 0
             for w in ws:
                 last = self._add(last, w)
-        self.occurs: list[tuple[int, ...]] = [()] * len(self.next)  # items of each state
-        self.short: dict[int, list[tuple[int, int | None]]] = {}  # state: (words, item) of the short items that end it
-        for item, ws in read:
+        self.occurs: dict[int, list[str]] = {}  # items of the states of whole windows, which are the only ones asked for
+        self.short: dict[int, list[tuple[int, str | None]]] = {}  # state: (words, item) of the short items that end it
+        seen = [-1] * len(self.next)
+        for k, (item, ws) in enumerate(read):
             state = 0
             for w in ws:
                 state = at = self.next[state][w]
-                while at > 0 and (not self.occurs[at] or self.occurs[at][-1] != item):
-                    if item is not None and item not in self.occurs[at]:
-                        self.occurs[at] = (*self.occurs[at], item)
+                while at > 0 and self.length[at] >= window and seen[at] != k:
+                    seen[at] = k
+                    if item is not None and self.length[self.link[at]] < window:
+                        self.occurs.setdefault(at, []).append(item)
                     at = self.link[at]
             if len(ws) < window:
                 self.short.setdefault(state, []).append((len(ws), item))
@@ -92,14 +94,14 @@ class ItemAutomaton:
             p = self.link[p]
         return new
 
-    def hits(self, words: list[bytes]) -> tuple[list[int], list[int], list[int]]:
+    def hits(self, words: list[bytes]) -> tuple[list[int], list[int], list[str]]:
         """Starts and ends of the united spans of words that windows hit, and the items of these windows."""
         get = self.number.get
         ids = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
         edges = np.flatnonzero(np.diff(np.concatenate([[0], ids != 0, [0]])))
         starts: list[int] = []
         ends: list[int] = []
-        items: set[int | None] = set()
+        items: set[str | None] = set()
         long_enough = np.flatnonzero(edges[1::2] - edges[::2] >= self.least)
         for k in long_enough.tolist():  # runs of words that some item has
             a, b = int(edges[2 * k]), int(edges[2 * k + 1])
@@ -115,7 +117,7 @@ class ItemAutomaton:
                     start, u = p - self.window, state
                     while self.length[self.link[u]] >= self.window:
                         u = self.link[u]
-                    items.update(self.occurs[u])
+                    items.update(self.occurs.get(u, ()))
                 if self.short:
                     for n, item in self.short.get(state, ()):
                         if matched >= n:
@@ -135,8 +137,8 @@ class ItemAutomaton:
 
 def item_blocks(benchmark: DataFrame, window: int, block_words: int = 200_000, item_id: str = "item_id", text: str = "text") -> Iterator[ItemAutomaton]:
     """Automata of blocks of items, each of block_words words at most unless a single item has more."""
-    rows = benchmark.select(F.col(item_id).cast("long"), text).distinct().toLocalIterator()
-    block: list[tuple[int | None, str | None]] = []
+    rows = benchmark.select(F.col(item_id).cast("string"), text).distinct().toLocalIterator()
+    block: list[tuple[str | None, str | None]] = []
     n = 0
     for item, t in rows:
         size = len(text_bytes(t).translate(LOWER_ALNUM).split())
