@@ -1,10 +1,12 @@
 """The stages end to end on a small raw file."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidegraph.plans import cli
 from tidegraph.plans.config import Config
 from tidegraph.plans.stages import Stages, ego, run_arms
 from tidegraph.sources.files import RAW_HEADER
@@ -59,3 +61,18 @@ def test_walk_forward(spark, files, tmp_path):
     matrix = stages.features(t["transactions"], 48)
     results, verdict = stages.walk_forward(matrix, t["typology"], "decision_tree")
     assert results.count() == 8 and verdict.first().n_blocks == 4
+
+
+def test_command_line(spark, files, tmp_path, capsys):
+    settings = tmp_path / "settings.yaml"
+    settings.write_text("dataset:\n  origin_date: '2022-09-01'\nmodels:\n  decision_tree:\n    min_samples_leaf: 1\n")
+    options = ["--root", f"file://{tmp_path}/out", "--transactions", files[0], "--patterns", files[1], "--config", str(settings), "--arm", "E1", "--model", "decision_tree"]
+    cli.main(["train", *options])
+    ingest, graph, features, train = (json.loads(line) for line in capsys.readouterr().out.splitlines() if line.startswith("{"))
+    assert ingest["facts"]["n_rows"] == features["facts"]["n_rows"] == 600 and features["facts"]["n_columns"] == 17 and "skipped" in graph["facts"]
+    assert set(train["facts"]["average_precision"]) == {"decision_tree val", "decision_tree test"}
+    stages = Stages(spark, cli.settings(cli.parser().parse_args(["train", *options])), f"file://{tmp_path}/out")
+    store = stages.store("features", *cli.FEATURES)
+    assert store.read_json("summary.json")["stage"] == "features" and set(store.read_json("settings.json")["settings"]) == set(cli.FEATURES)
+    with pytest.raises(SystemExit):
+        cli.parser().parse_args(["nonsense", *options])

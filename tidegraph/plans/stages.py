@@ -12,7 +12,7 @@ from tidegraph.operators import features as feats
 from tidegraph.operators import graph, ingest, models, splits
 from tidegraph.operators import snapshots as snap
 from tidegraph.plans import assemble as asm
-from tidegraph.plans.config import ARMS, Config
+from tidegraph.plans.config import ARMS, CODE_VERSION, Config
 from tidegraph.sources.files import StageStore, read_blocks, read_transactions
 from tidegraph.sources.views import CANONICAL, flags
 
@@ -26,7 +26,18 @@ class Stages:
         self.spark, self.config, self.root, self.force = spark, config, root, force
 
     def store(self, stage: str, *sections: str) -> StageStore:
-        return StageStore(self.spark, self.root, stage, self.config.key_for(*sections))
+        """CACHE1: the stage's folder, with a file that names the settings its key is made of."""
+        key = self.config.key_for(*sections)
+        store = StageStore(self.spark, self.root, stage, key)
+        if not store.exists("settings.json"):
+            store.write_json("settings.json", {"key": key, "code": CODE_VERSION, "settings": {s: self.config[s] for s in sorted(sections)}})
+        return store
+
+    def summarise(self, stage: str, facts: dict, seconds: float, sections: tuple[str, ...]) -> dict:
+        """SNK7: what a stage found and how long it took, beside its artifacts."""
+        summary = {"stage": stage, "seconds": round(seconds, 3), "facts": facts}
+        self.store(stage, *sections).write_json("summary.json", summary)
+        return summary
 
     def _kept(self, store: StageStore, name: str, build) -> DataFrame:
         return store.cached_frame(name, build, self.force)

@@ -78,6 +78,10 @@ class StageStore:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def exists(self, name: str) -> bool:
+        path, fs = self._path(name)
+        return fs.exists(path)
+
     def has(self, name: str) -> bool:
         path, fs = self._path(f"{name}/_SUCCESS")
         return fs.exists(path)
