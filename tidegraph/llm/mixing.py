@@ -5,9 +5,10 @@ source are a weighted sample without replacement of any length. A source's targe
 left, documents are taken in the order of their keys as far as the prefix sum of words goes (a document is taken where
 over half of it fits, so a source ends within half a document of its target).
 
-The prefix sum has two levels, so that a source with a third of all rows is not one task: keys fall into buckets of about
-``per_bucket`` documents, sums of buckets are added up within a source (one row a bucket), and the sum within a bucket goes
-on top. Nothing is broadcast but what Spark itself finds small.
+The prefix sum has three levels, so that a source with a third of all rows is not one task: keys fall into buckets of about
+``per_bucket`` documents, and buckets onto shelves, about as many as buckets on each. Sums are added up over the shelves of a source,
+over the buckets of a shelf, and within a bucket: no task has more than the square root of a source's buckets. Sources are one row each. Nothing is
+broadcast but what Spark itself finds small.
 
 Null text has size 0; a null source is a source, the last one; a null id hashes as the word null; a document without a
 quality gets weight 1. Rows that are alike tie, and which of them is taken last makes no difference to the result. An empty
@@ -81,8 +82,12 @@ def _taken(rows: DataFrame, quality: DataFrame | None, seed: int, per_bucket: in
     targets = written(source_targets(sizes, per_bucket).coalesce(1))
     keyed = sizes.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "source_size", "target", "buckets")
     keyed = keyed.withColumn("bucket", F.floor(F.col("buckets") * (1 - F.exp(-LEAST * F.col("key")))))
-    sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    below = sums.select("source", "bucket", F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("below"))
+    sums = keyed.groupBy("source", "bucket", F.floor(F.col("bucket") / F.ceil(F.sqrt("buckets"))).alias("shelf")).agg(F.sum("size").alias("words"))
+    before_in = lambda *key: W.partitionBy(*key[:-1]).orderBy(key[-1]).rowsBetween(W.unboundedPreceding, -1)
+    earlier = lambda window: F.coalesce(F.sum("words").over(window), F.lit(0))
+    shelves = sums.groupBy("source", "shelf").agg(F.sum("words").alias("words")).select("source", "shelf", earlier(before_in("source", "shelf")).alias("under"))
+    on_shelf = sums.select("source", "shelf", "bucket", earlier(before_in("source", "shelf", "bucket")).alias("beside"))
+    below = on_shelf.alias("o").join(shelves.alias("s"), F.col("o.source").eqNullSafe(F.col("s.source")) & (F.col("o.shelf") == F.col("s.shelf"))).select("o.source", "bucket", (F.col("under") + F.col("beside")).alias("below"))
     near = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.when(F.col("epochs") < MAX_EPOCHS, F.col("target") - F.col("epochs") * F.col("source_size")).otherwise(0.0)
