@@ -509,6 +509,14 @@ SOFTWARE."""
     assert got[1].allows == got[3].allows == got[2].allows == "copyleft" and got[2].licences == ["MPL-2.0"] and got[4].licences == ["MIT"] and got[5].licences == []
 
 
+def test_hyphens_and_gaps(docs):
+    s = licences.SENTENCES
+    texts = ["This is free and unencumbered software released into the public-domain.", ". ".join(s[n] for n in ("GplFree", "BsdGrant", "BsdSource", "BsdBinary", "GplWarranty")) + "."]
+    got = {r.doc_id: r.f for r in docs(texts).select("doc_id", licences.scan(F.col("text")).alias("f")).collect()}
+    assert got[0].licences == ["Unlicense"]
+    assert got[1].licences == ["BSD-2-Clause", "GPL-3.0-or-later", "UNKNOWN"] and got[1].n_unmatched == 1  # what stood apart isn't joined
+
+
 def test_every_known_sentence_has_a_hint():
     assert all(re.search(licences.HINT, s) for s in licences.SENTENCES.values())
     assert {x for _, _, ids in licences.RULES for x in ids.split()} <= set(licences.SENTENCES)

@@ -4,7 +4,7 @@ A text is cut into pieces (line breaks, and . ; ! ? : before white space), each
 anything but letters and digits are one space), and known sentences become identifiers: those that are one piece, or several
 pieces in a row of one paragraph, as in wrapped notices and in 'SPDX-License-Identifier: MIT' or 'v. 2.0'. The sequence of a text's identifiers
 is matched against ordered licence rules: each rule names a licence and the identifiers that make it up, in order; a rule
-that matches consumes its identifiers, so that later, shorter rules see only what is left. A known sentence that no rule
+that matches consumes its identifiers, so that later, shorter rules see only what is left, with a gap where they were. A known sentence that no rule
 consumes makes the text's licence UNKNOWN.
 
 Null and empty texts have no sentences. Texts of any length are taken whole. Repeated sentences match again, and a licence
@@ -96,8 +96,8 @@ RULES = [
     ("Unlicense", "permissive", "Unlicense"),
     ("LicenseRef-all-rights-reserved", "reserved", "Reserved"),
 ]
-#: A text with none of these has no known sentence but the ones in PLAIN.
-HINT = r"(?i)licen[sc]|reserved|granted|permitted|redistribut|warranty|copyright|public\s+domain|the\s+license|mozilla|liable"
+#: Every known sentence has one of these; between words there may be anything but letters and digits.
+HINT = r"(?i)licen[sc]|reserved|granted|permitted|redistribut|warranty|copyright|public[^A-Za-z0-9]+domain|mozilla|liable"
 PIECE_END = r"[.;!?:]?[ \t\r]*\n|[.;!?:](?=\s|$)"
 #: Of pieces with a | before and after each: known sentences, the longest first. No piece is empty but between paragraphs.
 KNOWN = rf"(?<=\|)(?:{'|'.join(s.replace(' ', '[ |]') for s in sorted(SENTENCES.values(), key=len, reverse=True))})(?=\|)"
@@ -122,7 +122,7 @@ def scan(text: Column) -> Column:
         met = F.contains(state["left"], rule["ids"])
         none = F.array().cast("array<string>")
         return F.struct(
-            F.replace(state["left"], rule["ids"], F.lit("")).alias("left"),
+            F.replace(state["left"], rule["ids"], F.lit(" . ")).alias("left"),
             F.concat(state["licences"], F.when(met, F.array(rule["licence"])).otherwise(none)).alias("licences"),
             F.concat(state["allows"], F.when(met, F.array(rule["allows"])).otherwise(none)).alias("allows"),
         )
@@ -147,7 +147,7 @@ def oracle() -> str:
     last = f"SELECT doc_id, len(ids) AS n_known, ' ' || array_to_string(ids, '  ') || ' ' AS rest, []::VARCHAR[] AS licences, []::VARCHAR[] AS allows FROM ({last})"
     for name, allows, ids in RULES:
         pattern = quoted(f" {ids.replace(' ', '  ')} ")
-        last = f"""SELECT doc_id, n_known, replace(rest, {pattern}, '') AS rest,
+        last = f"""SELECT doc_id, n_known, replace(rest, {pattern}, ' . ') AS rest,
             CASE WHEN contains(rest, {pattern}) THEN list_append(licences, {quoted(name)}) ELSE licences END AS licences,
             CASE WHEN contains(rest, {pattern}) THEN list_append(allows, {quoted(allows)}) ELSE allows END AS allows FROM ({last})"""
     order = " ".join(f"WHEN list_contains(allows, '{c}') THEN '{c}'" for c in CLASSES)
