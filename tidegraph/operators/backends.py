@@ -35,9 +35,10 @@ def array_pagerank(edges: DataFrame, n_nodes: int, rounds: int, damping: float =
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         src, dst, w = rows["src"].to_numpy(), rows["dst"].to_numpy(), rows["w"].to_numpy(np.float64)
         out = np.bincount(src, weights=w, minlength=n_nodes)
+        share = np.divide(w, out[src], out=np.zeros(len(w)), where=out[src] != 0)
         x = np.full(n_nodes, 1 / n_nodes)
         for _ in range(rounds):
-            x = (1 - damping) / n_nodes + damping * (np.bincount(dst, weights=w / out[src] * x[src], minlength=n_nodes) + x[out == 0].sum() / n_nodes)
+            x = (1 - damping) / n_nodes + damping * (np.bincount(dst, weights=share * x[src], minlength=n_nodes) + x[out == 0].sum() / n_nodes)
         nodes = np.unique(np.concatenate([src, dst]))
         return pd.DataFrame({"day_idx": rows["day_idx"].iloc[0], "node": nodes, "rank": x[nodes]})
 
