@@ -203,6 +203,15 @@ class TestGraph:
             a, b = ({r.node: r["rank"] for r in backends.kernels(k).pagerank(e, 9, rounds).collect()} for k in ("plans", "arrays"))
             assert a.keys() == b.keys() and all(math.isclose(a[i], b[i], rel_tol=1e-12) for i in a)
 
+    def test_pagerank_of_weightless_edges(self, spark):
+        """A node whose out-edges weigh 0 dangles, in both kernels; another whose edges weigh 0 in part does not."""
+        weightless, without = (edge_table(spark, [(0, 1, 3, 1), (2, 1, 1, 1), *more]) for more in ([(1, 0, 0, 1), (1, 2, 0, 1), (2, 0, 0, 1)], []))
+        expected = {r.node: r["rank"] for r in graph.pagerank(without, 9, rounds=6).collect()}
+        for kernel in ("plans", "arrays"):
+            got = {r.node: r["rank"] for r in backends.kernels(kernel).pagerank(weightless, 9, 6).collect()}
+            assert got.keys() == expected.keys() and all(math.isclose(got[i], expected[i], rel_tol=1e-12) for i in got)
+        assert {r.node for r in graph.pagerank(weightless, 9).collect()} == {0, 1, 2}
+
     def test_weights_matter(self, spark):
         e = edge_table(spark, RINGS)
         weighted, plain = ({r.node: r["rank"] for r in graph.pagerank(e, 9, weight=w, rounds=12).collect()} for w in ("w_norm", None))

@@ -42,6 +42,24 @@ def test_rows(spark, name):
     assert engine.QUERIES[name](spark, FOLDER).count() > 0
 
 
+@pytest.fixture(scope="module")
+def worthless(duck, tmp_path_factory):
+    """The events, and one of amount 0 by a node that has no other: its out-edges weigh 0 in all."""
+    folder = tmp_path_factory.mktemp("worthless")
+    one = "SELECT max(event_id) + 1, TIMESTAMP '2024-01-01 05:00:00', max(user_id) + 1, 'view', 0.0, '{\"k\": 5}' FROM events"
+    duck.execute(f"COPY (SELECT * FROM events UNION ALL {one}) TO '{folder}/events.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["gr1_pagerank_k20", "gr1_pagerank_converged", "win4_pagerank_pct", "gr11_pagerank_and_degree", "gr2_backend_agreement", "as1_matrix_fixed", "as1_feature_matrix"])
+def test_a_node_that_pays_nothing(spark, worthless, name):
+    df = engine.QUERIES[name](spark, worthless)
+    numbers = [c for c, kind in df.dtypes if kind in ("float", "double")]
+    assert not [r for r in df.select(*numbers).collect() if any(v is not None and not math.isfinite(v) for v in r)]
+    if name == "gr2_backend_agreement":
+        assert df.where("max_difference <> 0 OR rank_correlation <> 1 OR hub_place <> 1").isEmpty()
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

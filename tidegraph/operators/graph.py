@@ -56,10 +56,11 @@ def neighbours(edges: DataFrame, node: int, direction: str = "out") -> DataFrame
 def pagerank(edges: DataFrame, n_nodes: int, damping: float = 0.85, weight: str | None = "w_norm", rounds: int | None = None, tolerance: float = 1e-12, most: int = 200) -> DataFrame:
     """GR1: day_idx, node, rank over a node space of n_nodes, dangling mass spread evenly. rounds: a fixed number of them, else until no rank moves more than the tolerance.
 
-    Only active nodes are held: every dormant node has the rank of one without in-edges, which is a number a day. Whether ranks still move is looked at every few rounds."""
+    A node whose out-edges weigh 0 in all dangles like one without any. Only active nodes are held: every dormant node has the rank of one without in-edges, which is a number a day.
+    Whether ranks still move is looked at every few rounds."""
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     weighted = edges.select("day_idx", "src", "dst", w.alias("w"))
-    out = weighted.groupBy("day_idx", "src").agg(F.sum("w").alias("total"))
+    out = weighted.groupBy("day_idx", "src").agg(F.sum("w").alias("total")).where("total <> 0")
     share = written(weighted.join(out, ["day_idx", "src"]).select("day_idx", "src", "dst", (F.col("w") / F.col("total")).alias("share")))
     nodes = written(active_nodes(edges).join(out.select("day_idx", F.col("src").alias("node"), F.lit(False).alias("dangles")), ["day_idx", "node"], "left").withColumn("dangles", F.coalesce("dangles", F.lit(True))))
     n = float(n_nodes)
