@@ -461,6 +461,47 @@ def test_copies_with_repeated_passages_are_found(docs):
 # 4. Licences ------------------------------------------------------------------------------------------------------------
 
 
+def test_a_bitmap_loses_no_pair():
+    rng = np.random.default_rng(5)
+    for n, changed in [(40, 4), (146, 8), (146, 16), (146, 17), (3000, 300), (3000, 340)]:
+        base = rng.integers(1 << 63, size=n, dtype=np.uint64)
+        other = np.concatenate([base[changed:], rng.integers(1 << 63, size=changed, dtype=np.uint64)])
+        bits = np.stack([np.frombuffer(dedup.sketch_of(x), np.uint64) for x in (base, other)])
+        similar = (n - changed) / (n + changed) >= 0.8
+        assert dedup._alike(np.array([n, n]), bits, np.array([0]), np.array([1]), 0.8)[0] or not similar
+    far = np.stack([np.frombuffer(dedup.sketch_of(rng.integers(1 << 63, size=146, dtype=np.uint64)), np.uint64) for _ in range(2)])
+    assert not dedup._alike(np.array([146, 146]), far, np.array([0]), np.array([1]), 0.8)[0]
+
+
+def test_a_family_that_is_not_similar_enough_leads_to_few_pairs(docs, monkeypatch):
+    """Sixty texts with a similarity of about 0.67 each, and a near copy of one of them: their 1,770 pairs are not made, and the copy is found."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for k in range(60):
+        words = list(base)
+        for at in rng.sample(range(5, 145), 3):
+            words[at] = f"x{k}-{at}"
+        texts.append(" ".join(words))
+    texts.append(texts[7] + " end")
+    made, verified = [], dedup._verified
+
+    def counting(held, first, near, *more):
+        made.append(near.count())
+        return verified(held, first, near, *more)
+
+    monkeypatch.setattr(dedup, "_verified", counting)
+    monkeypatch.setattr(dedup, "FEW", 4)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    similar = [(a, b) for b in range(61) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    roots = list(range(61))
+    for a, b in similar * 61:
+        roots[a] = roots[b] = min(roots[a], roots[b])
+    assert (7, 60) in similar
+    assert sorted(r.doc_id for r in dedup.drop_near_duplicates(docs(texts)).collect()) == sorted(set(roots))
+    assert made[-1] < 200, made
+
+
 def test_licence_rules(docs):
     full = {n: licences.SENTENCES[n] for n in ("MitGrant", "MitNotice", "MitAsIs", "MitLiability")}
     texts = [
@@ -879,6 +920,17 @@ def test_lm_edges(docs):
     assert {r.doc_id for r in lm.score_texts(named).collect()} == {"doc-0", "doc-1"}
 
 
+def test_frequent_words_are_counted_in_blocks_that_do_not_tell_them(docs):
+    """A word that is common in one block and rare in others reaches the share by its sum over all of them; one that stays just below it doesn't."""
+    ids = [i for i in range(200) if not lm.held_out(str(i))]
+    n, block = 100_000, 4
+    count = {"in": [40, 0, 0, 0], "sum": [37, 1, 1, 1], "below": [36, 1, 1, 1]}  # 40 of 400,000 tokens are the share; a block tells two or more
+    texts = [" ".join([w for w, c in count.items() for _ in range(c[b])] + [f"f{b}-{i}" for i in range(n - 1 - sum(c[b] for c in count.values()))]) for b in range(block)]
+    made = docs(texts, ids[:block]).selectExpr("cast(doc_id AS string) AS doc_id", "text").repartitionByRange(block, "doc_id").mapInArrow(lm._blocks, lm._ddl(lm._BLOCK))
+    assert made.count() == block
+    assert lm.frequent_words(made, block * n) == [b"in", b"sum"]
+
+
 # 7. URLs ----------------------------------------------------------------------------------------------------------------
 
 

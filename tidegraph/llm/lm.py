@@ -19,8 +19,9 @@ dictionary's words, dealt by their hash; a group has all that is asked about its
 the corpus, so it seats them by itself. What goes over the network are packed arrays, a few bytes for each word or
 pair of context and word that a block has. Only the totals of restaurants (CONTEXTS at most) and the letter
 table reach the driver: contexts and letters that make up LETTER_SHARE of all letters of the vocabulary at least, so 1 / LETTER_SHARE an
-order at most; the rest are customers of the shorter context. Both shares mean the same at every size. Words are frequent by the sum
-over blocks in which they reach an eighth of the share. Answers go back to the blocks, which score their texts.
+order at most; the rest are customers of the shorter context. Both shares mean the same at every size. Which words reach the share is
+exact: blocks tell the words that reach an eighth of it there, and those whose sum leaves room for doubt (8 / 7 / SHARE at most) are counted
+in all blocks. Answers go back to the blocks, which score their texts.
 
 Null text is empty and has one token, the end. Texts of any length are taken whole. An empty table gives an empty result;
 without training texts every word is spelled by the uniform distribution. Rows that repeat are scored alike, and count as
@@ -130,15 +131,49 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
+def _train_counts(row: dict) -> tuple[list[bytes], np.ndarray]:
+    """The words of a block, and how often they occur in its training texts."""
+    words, held, sizes = _unpack_words(row["words"]), _unpack(row["held_out"]).astype(bool), _unpack(row["sizes"])
+    n = np.bincount(_unpack(row["ids"]).astype(np.int64), weights=np.repeat(~held, sizes), minlength=len(words)).astype(np.int64)
+    n[0] = 0  # nothing follows the end
+    return words, n
+
+
 def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words that reach an eighth of SHARE in the training texts of a block, and how often they occur."""
+    """Words that reach an eighth of SHARE in the training texts of a block, how often they occur, and how many training tokens the block has."""
     for batch in batches:
         for row in batch.to_pylist():
-            words, held, sizes = _unpack_words(row["words"]), _unpack(row["held_out"]).astype(bool), _unpack(row["sizes"])
-            n = np.bincount(_unpack(row["ids"]).astype(np.int64), weights=np.repeat(~held, sizes), minlength=len(words)).astype(np.int64)
-            n[0] = 0  # nothing follows the end
+            words, n = _train_counts(row)
             some = np.flatnonzero((n > 0) & (n >= SHARE / 8 * row["n_train"])).tolist()
-            yield pa.record_batch([pa.array([words[i] for i in some], pa.binary()), pa.array(n[some], pa.int64())], names=["word", "n"])
+            yield pa.record_batch([pa.array([words[i] for i in some], pa.binary()), pa.array(n[some], pa.int64()), pa.array([row["n_train"]] * len(some), pa.int64())], names=["word", "n", "seen"])
+
+
+def _counter(asked):
+    """asked: broadcast, words that are counted in all blocks."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, n = _train_counts(row)
+                some = [i for i, w in enumerate(words) if w in asked.value and n[i]]
+                yield pa.record_batch([pa.array([words[i] for i in some], pa.binary()), pa.array(n[some], pa.int64())], names=["word", "n"])
+
+    return count
+
+
+def frequent_words(blocks: DataFrame, n_train: int) -> list[bytes]:
+    """The words that make up SHARE of the n_train training tokens at least, in order: 1 / SHARE of them at most."""
+    rows = blocks.select("ids", "words", "sizes", "held_out", "n_train")
+    told = rows.mapInArrow(_often, "word binary, n long, seen long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
+    least, unseen = SHARE * n_train, F.lit(n_train) - F.col("seen")
+    # In a block that doesn't tell a word, it makes up less than an eighth of SHARE. So where the sum may reach SHARE, 7 / 8 of it have been told.
+    found = told.where(F.col("n") + SHARE / 8 * unseen >= least).select("word", "n", "seen").collect()
+    names = [bytes(r["word"]) for r in found if r["n"] >= least]
+    doubtful = {bytes(r["word"]) for r in found if r["n"] < least}
+    if doubtful:
+        exact = rows.mapInArrow(_counter(blocks.sparkSession.sparkContext.broadcast(doubtful)), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        names += [bytes(r["word"]) for r in exact.where(F.col("n") >= least).collect()]
+    return sorted(names)
 
 
 def ending(word: bytes) -> int:
@@ -515,8 +550,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", swe
     blocks = written(docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_blocks, _ddl(_BLOCK)), "uncompressed")
     size = blocks.agg(F.sum("n_words"), F.sum("n_train")).first()
     groups = max(1, math.ceil((size[0] or 0) / GROUP))
-    frequent = blocks.select("ids", "words", "sizes", "held_out", "n_train").mapInArrow(_often, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    names = sorted(bytes(r["word"]) for r in frequent.where(F.col("n") >= SHARE * (size[1] or 0)).collect())  # 1 / SHARE at most
+    names = frequent_words(blocks, size[1] or 0)
     often, parents = sent({w: i for i, w in enumerate(names)}), sent(np.array([ending(w) for w in names], np.int64))
     asked = blocks.mapInArrow(_asker(groups, often), _ddl(_ASKED)).repartition(groups, "r")
     merged = written(asked.groupBy("r").applyInArrow(_merger(parents), _ddl(_MERGED)), "uncompressed")
