@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.sources.shared import drop_written, shared_folder, ship, written
+from tidegraph.sources.shared import collect_garbage, drop_written, shared_folder, ship, written
 
-__all__ = ["drop_written", "shared_folder", "ship", "written"]
+__all__ = ["collect_garbage", "drop_written", "shared_folder", "ship", "written"]
 
 #: Maps A-Z to a-z and leaves every other byte of a UTF-8 text alone.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))

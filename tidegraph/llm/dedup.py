@@ -10,9 +10,11 @@ corpus lead to no pairs; ``COMMON`` of them at most are counted and broadcast, a
 Pairs are verified in three rounds, and a round takes no pair of a component that is known or that was tried. The first two only
 connect most of a group by few pairs: a forest of SimHash candidates by covering masks (halves of the 64 bits with radius 6),
 then neighbours among the texts of a shingle. The last takes all pairs that share a shingle, have sizes and positions that allow
-the similarity, and are still apart; after it no pair is left. Where the members of a family are just less similar than that,
-their pairs grow with the square of the family. Buckets of over BUCKET texts are cut into blocks, and blocks are compared with
-each other in tasks of their own, so no task holds more than two blocks.
+the similarity, and are still apart; after it no pair is left. Where over FEW texts share a shingle, their sets come along as
+bitmaps: sets differ in as many shingles as their bitmaps in bits at least, so pairs that differ in more than the similarity
+allows end in the task that meets them. What is left of families of just less similar texts are comparisons of bitmaps, and the
+few pairs that bitmaps don't tell apart. Buckets of over BUCKET texts are cut into blocks, and blocks are compared with each
+other in tasks of their own, so no task holds more than two blocks.
 
 Texts are not shuffled as a whole: which of them take part in a join is tested against a bitmap of fixed size, and only
 those that may (and the few that fall on a set bit by chance) are joined by their key.
@@ -24,7 +26,7 @@ rows with the same id, one. Other columns are carried as they are; an empty tabl
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import LOWER, text_bytes, written
+from tidegraph.llm.common import LOWER, collect_garbage, text_bytes, written
 from tidegraph.llm.graph import components
 from tidegraph.llm.simhash import SEED, covering_masks, fingerprint_of
 
@@ -45,6 +47,8 @@ BUCKET = 16_384
 BITMAP = 1 << 26  # bits
 COMMON = 200_000  # shingles that are put last
 COUNTED = 1 << 21  # shingles that a task counts at a time
+FEW = 32  # texts of a shingle whose pairs are made without a look at their bitmaps
+SKETCH = 2048  # bits of the bitmap of a set
 SET_BYTES = 5  # of a shingle's hash where two sets are compared; different shingles of two texts share them once in 1e12 pairs
 
 
@@ -327,6 +331,22 @@ def shingle_set(text: Column, words: int) -> Column:
     return run(text)
 
 
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """A bitmap of SKETCH bits with those of the hashes set that the exact comparison sees: two sets differ in as many shingles as their bitmaps in bits at least."""
+    bits = np.zeros(SKETCH, bool)
+    bits[(hashes >> np.uint64(64 - 8 * SET_BYTES)) % np.uint64(SKETCH)] = True
+    return np.packbits(bits).tobytes()
+
+
+def sketch(text: Column, words: int) -> Column:
+    @F.arrow_udf("binary")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([sketch_of(shingles_of(t.as_py(), words)) for t in texts], pa.binary())
+
+    return run(text)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     @F.arrow_udf("double")
     def run(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -423,6 +443,16 @@ def _possible(size: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, si
     return np.minimum(size[i] - at[i], size[j] - at[j]) >= least - 1e-6
 
 
+def _alike(size: np.ndarray, sketches: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets with these bitmaps can have the similarity: (1 - s) / (1 + s) of the sum of their sizes is the most in which they may differ."""
+    most = (1 - similarity) / (1 + similarity) * (size[i].astype(float) + size[j]) + 1e-6
+    out = np.empty(len(i), bool)
+    for k in range(0, len(i), 1 << 16):
+        part = slice(k, k + (1 << 16))
+        out[part] = np.bitwise_count(sketches[i[part]] ^ sketches[j[part]]).sum(1, dtype=np.int64) <= most[part]
+    return out
+
+
 def _pair_batch(first: list[np.ndarray], second: list[np.ndarray]) -> pa.RecordBatch:
     none = np.empty(0, np.int64)
     a, b = np.concatenate([none, *first]), np.concatenate([none, *second])
@@ -448,12 +478,12 @@ def _neighbours(similarity: float):
 
 
 def _all_pairs(similarity: float):
-    """Of rows token, i, j, size, node, at, root, block sorted by the first four: all pairs of a group that are apart and can have the similarity; of two blocks where i < j, else of one."""
+    """Of rows token, i, j, size, node, at, root, block (and bitmap) sorted by the first four: all pairs of a group that are apart and can have the similarity; of two blocks where i < j, else of one."""
 
     def whole(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not len(c[0]):
             return
-        i, j, size, node, at, root, block = c[1:]
+        i, j, size, node, at, root, block = c[1:8]
         groups = np.cumsum(_starts(c[:3]))
         left = np.searchsorted(groups, groups, side="right") - np.arange(len(groups))
         rows, step, first, second, held = np.flatnonzero(left > 1), 1, [], [], 0
@@ -461,6 +491,8 @@ def _all_pairs(similarity: float):
             rows = rows[size[rows] >= similarity * size[rows + step] - 1e-6]  # sizes ascend: none further on either
             x = rows[(root[rows] != root[rows + step]) & ((i[rows] == j[rows]) | (block[rows] != block[rows + step]))]
             x = x[_possible(size, at, x, x + step, similarity)]
+            if len(c) > 8:
+                x = x[_alike(size, c[8], x, x + step, similarity)]
             if len(x):
                 first.append(node[x])
                 second.append(node[x + step])
@@ -475,7 +507,9 @@ def _all_pairs(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for part in batches:
-            c = [x.to_numpy() for x in part.columns]
+            c = [x.to_numpy() for x in part.columns[:8]]
+            for x in part.columns[8:]:
+                c.append(np.frombuffer(b"".join(x.to_pylist()), np.uint64).reshape(len(x), -1) if len(x) else np.empty((0, SKETCH // 64), np.uint64))
             held = [np.concatenate(x) for x in zip(held, c, strict=True)] if held else c
             if len(held[0]):
                 last = len(held[0]) - int(np.logical_and.reduce([c == c[-1] for c in held[:3]]).sum())
@@ -487,17 +521,22 @@ def _all_pairs(similarity: float):
     return run
 
 
-def meeting(shared: DataFrame, groups: DataFrame, similarity: float, every: bool) -> DataFrame:
-    """a < b: pairs of nodes that share a token, are not of one group, and can have the similarity: all of them, or only neighbours."""
+def meeting(shared: DataFrame, groups: DataFrame, similarity: float, sketches: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """a < b: pairs of nodes that share a token, are not of one group, and can have the similarity: only neighbours, or all of them. sketches: node, sketch of the given nodes."""
     rows = shared.join(groups, "node", "left").select("token", "size", "node", "at", F.coalesce("root", "node").alias("root"))
-    if not every:
+    if sketches is None:
         return rows.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(_neighbours(similarity), "a long, b long").distinct()
     apart = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
-    placed = rows.join(apart.select("token", F.ceil(F.col("n") / F.when(F.col("n") > BUCKET, BUCKET // 2).otherwise(BUCKET)).cast("int").alias("n")), "token")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    dealt = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    dealt = dealt.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "size", "node", "at", "root", "block")
-    return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "size").mapInArrow(_all_pairs(similarity), "a long, b long").distinct()
+    apart = written(apart.select("token", "n"))
+    few = rows.join(apart.where(F.col("n") <= FEW).select("token"), "token").select("token", F.lit(0).alias("i"), F.lit(0).alias("j"), "size", "node", "at", "root", F.lit(0).alias("block"))
+    pairs = few.repartition("token").sortWithinPartitions("token", "size").mapInArrow(_all_pairs(similarity), "a long, b long")
+    many = apart.where(F.col("n") > FEW).select("token", F.ceil(F.col("n") / F.when(F.col("n") > BUCKET, BUCKET // 2).otherwise(BUCKET)).cast("int").alias("n"))
+    if many.isEmpty():
+        return pairs.distinct()
+    placed = written(rows.join(many, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")))
+    dealt = placed.join(sketches(placed.select("node").distinct()), "node").select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    dealt = dealt.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "size", "node", "at", "root", "block", "sketch")
+    return pairs.unionAll(dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "size").mapInArrow(_all_pairs(similarity), "a long, b long")).distinct()
 
 
 def _selected(held: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -505,11 +544,16 @@ def _selected(held: DataFrame, wanted: DataFrame) -> DataFrame:
     return held.where(maybe_in(held, "__rid", bitmap_of(wanted, "__rid"))).join(wanted, "__rid")
 
 
+def _texts(held: DataFrame, first: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
+    """node, text of the given nodes."""
+    wanted = written(first.join(nodes, "node").select("node", F.col("first.rid").alias("__rid")))
+    return _selected(held.select("__rid", F.col(text).alias("text")), wanted)
+
+
 def _verified(held: DataFrame, first: DataFrame, near: DataFrame, words: int, similarity: float, text: str) -> DataFrame:
     """The pairs of near whose sets have the similarity. Sets are made of the texts that are asked for only."""
     ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = written(first.join(ends, "node").select("node", F.col("first.rid").alias("__rid")))
-    sets = written(_selected(held.select("__rid", F.col(text).alias("text")), wanted).select("node", shingle_set(F.col("text"), words).alias("set")))
+    sets = written(_texts(held, first, ends, text).select("node", shingle_set(F.col("text"), words).alias("set")))
     of = lambda end: sets.select(F.col("node").alias(end), F.col("set").alias(f"set_{end}"))
     return near.join(of("a"), "a").join(of("b"), "b").where(jaccard(F.col("set_a"), F.col("set_b")) >= similarity).select("a", "b")
 
@@ -533,14 +577,17 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
         tried = tried.unionAll(near) if tried else near
         known = known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(verified) if known else verified
         known = written(components(known))
+        collect_garbage(docs.sparkSession)
         return known
 
     groups = connect(scouted(first))
     firsts = bitmap_of(first.select(F.col("first.rid").alias("__rid")), "__rid")
     texts = held.where(maybe_in(held, "__rid", firsts)).select(F.col("__prints.node").alias("node"), F.col(text).alias("text"))
     shared = written(prefixes(texts, words, similarity).repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(_met, "token long, size int, node long, at int"))
-    for every in (False, True):
-        groups = connect(meeting(shared, groups, similarity, every))
+    collect_garbage(docs.sparkSession)
+    sketches = lambda nodes: written(_texts(held, first, nodes, text).select("node", sketch(F.col("text"), words).alias("sketch")))
+    for made in (None, sketches):
+        groups = connect(meeting(shared, groups, similarity, made))
     grouped = first.join(groups, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     stays = grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("__rid"))
     goes = written(ids.select("__rid").join(stays, "__rid", "left_anti"))

@@ -9,14 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import drop_written, written
+from tidegraph.llm.common import collect_garbage, drop_written, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root of every node that has a link to another; root: the smallest node that can be reached."""
     edges = written(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct())
-    before = None
+    before, rounds = None, 0
     while True:
+        rounds += 1
+        if rounds % 3 == 0:
+            collect_garbage(links.sparkSession)
         after = written(_small_star(_large_star(edges)))
         drop_written(edges)
         edges = after

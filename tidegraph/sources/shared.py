@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -47,11 +48,17 @@ def tables_since(mark: int) -> list[str]:
 
 
 def release(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes tables of written() that nothing reads any more, and lets Spark find the shuffle files of plans that are gone."""
+    """Deletes tables of written() that nothing reads any more, and lets Spark find the shuffle files and broadcasts of plans that are gone."""
     for path in paths:
         _remove(spark, path)
     if paths:
-        spark._jvm.System.gc()
+        collect_garbage(spark)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Between rounds: Spark deletes shuffle files and broadcasts only of plans that Python and then the driver have collected; the driver's heap shrinks, too."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def drop_written(df: DataFrame) -> None:
