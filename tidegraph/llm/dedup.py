@@ -289,20 +289,17 @@ def bitmap_of(keys: DataFrame, name: str, bits: int = BITMAP) -> list:
 
 def maybe_in(df: DataFrame, name: str, segments: list, bits: int = BITMAP) -> Column:
     """Whether the bitmap has the hash of the column: true for every key, and for few others."""
-    sent = df.sparkSession.sparkContext.broadcast(segments)
+    held = np.zeros(((bits + (1 << 15) - 1) >> 15, 1 << 12), np.uint8)
+    for s, b in segments:
+        held[s - 1] = np.frombuffer(b, np.uint8)
+    sent = df.sparkSession.sparkContext.broadcast(held)
 
     @F.arrow_udf("boolean")
     def test(at: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        of = {s: np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little").astype(bool) for s, b in sent.value}
-        none = np.zeros(1 << 15, bool)
+        flat = sent.value.reshape(-1)  # looked up as it is: a byte for each bit would be 64 MB in every worker
         for places in at:
             p = places.to_numpy(zero_copy_only=False)
-            segment, bit = p // (1 << 15) + 1, p % (1 << 15)
-            out = np.zeros(len(p), bool)
-            for s in np.unique(segment).tolist():
-                rows = segment == s
-                out[rows] = of.get(s, none)[bit[rows]]
-            yield pa.array(out)
+            yield pa.array((flat[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool))
 
     return test(F.pmod(F.xxhash64(name), F.lit(bits)))
 
