@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.llm import decontaminate, dedup, mixing, pii, toxicity
-from tidegraph.llm.common import shared_folder, ship, table
+from tidegraph.llm.common import shared_folder, ship, shrink_executors, small_batches, table
 from tidegraph.llm.queries import KEY, TOXIC, WINDOW
 from tidegraph.sources.shared import release, tables_made, tables_since
 
@@ -29,7 +29,9 @@ def stage(make: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable
     @wraps(make)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
+        small_batches(spark)
         release(spark, _held)
+        shrink_executors(spark)
         mark = tables_made()
         out = make(spark, docs, sf_dir)
         _held[:] = tables_since(mark)

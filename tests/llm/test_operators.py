@@ -6,15 +6,19 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Iterator
+from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
 
 from tidegraph.llm import decontaminate, dedup, graph, licences, lm, mixing, pii, queries, repetition, simhash, tokens, toxicity, urls
 from tidegraph.llm.common import text_bytes
+from tidegraph.sources.shared import tables_made, tables_since
 
 SMALL = "/root/testdata/sf0.001"
 ODD = [None, "", " \n\t", "a", "word " * 30_000, "same text here", "same text here", "Ünï çödé 🙂 \u00a0x"]
@@ -434,6 +438,34 @@ def test_near_copies_inside_a_family_are_found(docs):
     assert sorted(r.doc_id for r in dedup.drop_near_duplicates(docs(family)).collect()) == expected
 
 
+def test_tables_of_few_rows_have_few_files(spark, docs):
+    """A file of a few rows for each partition of a shuffle costs processes and memory; only candidates and shared shingles may have more files."""
+    p = spark.sparkContext.defaultParallelism
+    rng = random.Random(21)
+    texts = [" ".join(f"w{rng.randint(0, 10**9)}" for _ in range(60)) for _ in range(40 * p)]
+    texts += [f"{t} end" for t in texts[::2]]
+    settings = {"spark.sql.shuffle.partitions": str(12 * p), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    mark = tables_made()
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        kept = {r.doc_id for r in dedup.drop_near_duplicates(docs(texts)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert kept == set(range(40 * p))
+    files = [len(list(Path(t.removeprefix("file://")).glob("part-*"))) for t in tables_since(mark)]
+    assert sum(n > dedup.FEW_ROWS[1] * p for n in files) <= 2 and max(files) <= dedup.MANY[1] * p, files
+
+
+def test_common_shingles_are_counted(docs):
+    texts = [" ".join(f"w{i}" for i in range(k, 12)) for k in range(8)]
+    counts = Counter(h for t in texts for h in set(dedup.shingles_of(t, 5).tolist()))
+    shingles, n = dedup.common_shingles(docs(texts).coalesce(1), 5)
+    assert dict(zip(shingles.tolist(), n.tolist(), strict=True)) == {h: k for h, k in counts.items() if k > 3}
+
+
 def test_repeats_do_not_make_texts_alike(docs):
     """Two texts with one line 40 times and else different shingles have equal fingerprints, and both stay."""
     rng = random.Random(13)
@@ -1077,6 +1109,18 @@ def test_quality_edges(docs):
 # The pipeline -----------------------------------------------------------------------------------------------------------
 
 
+def test_texts_come_to_python_in_batches_of_few_bytes(shipped, docs):
+    import corpus_pipeline as c
+
+    @F.arrow_udf("long")
+    def sizes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([texts.nbytes] * len(texts), pa.int64())
+
+    stage = c.stage(lambda spark, frame, sf_dir: frame.select(sizes(F.repeat(F.lit("x"), 10_000)).alias("n")))
+    assert stage(shipped, shipped.range(0, 3_000, 1, 1), "").agg(F.max("n")).first()[0] < 6e6
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as c
 

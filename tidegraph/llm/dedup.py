@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import LOWER, collect_garbage, text_bytes, written
+from tidegraph.llm.common import LOWER, collect_garbage, give_back, shrink_executors, text_bytes, written
 from tidegraph.llm.graph import components
 from tidegraph.llm.simhash import SEED, covering_masks, fingerprint_of
 
@@ -47,6 +47,8 @@ BUCKET = 16_384
 BITMAP = 1 << 26  # bits
 COMMON = 200_000  # shingles that are put last
 COUNTED = 1 << 21  # shingles that a task counts at a time
+FEW_ROWS = 16_384, 2  # documents a file, and files a core, of tables with a few rows for each document
+MANY = 2_048, 8  # and of those with many
 FEW = 32  # texts of a shingle whose pairs are made without a look at their bitmaps
 SKETCH = 2048  # bits of the bitmap of a set
 SET_BYTES = 5  # of a shingle's hash where two sets are compared; different shingles of two texts share them once in 1e12 pairs
@@ -230,13 +232,18 @@ def _emit_blocks(masks: np.ndarray, slack: int):
     return run
 
 
+def files_for(df: DataFrame, a_file: int, a_core: int) -> int:
+    """In how many files at most tables of a few rows for each of df are written: one for so many rows of df, and so many for each core."""
+    return max(math.ceil(df.count() / a_file), a_core * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def candidates(prints: DataFrame, every: int = 1, slack: int = SLACK) -> DataFrame:
     """a < b: candidate pairs of distinct fingerprints, in every ``every``-th table: of each task's candidates a forest that connects them, close pairs first. prints: print, second, known (0, or the number of the component that is known), size of the set."""
     masks = _halves()[::every]
     tables = np.array(masks, np.int64)
     keyed = F.explode(F.array(*(F.struct(F.lit(i).cast("short").alias("t"), F.col("print").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks))))
     rows = prints.select("print", "second", "known", "size", keyed.alias("x")).select("x.t", "x.key", "print", "second", "known", "size")
-    found = written(rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_emit(tables, slack), _FOUND))
+    found = written(rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_emit(tables, slack), _FOUND), files=files_for(prints, *MANY))
     pairs = found.where("large < 0").select("a", "b")
     large = found.where("large >= 0").select(F.col("a").alias("print"), F.col("large").alias("t"), "second", "known", "size")
     if large.isEmpty():
@@ -250,9 +257,9 @@ def candidates(prints: DataFrame, every: int = 1, slack: int = SLACK) -> DataFra
     return pairs.unionAll(more.select("a", "b").distinct())
 
 
-def scouted(first: DataFrame) -> DataFrame:
+def scouted(first: DataFrame, files: int | None = None) -> DataFrame:
     """a < b: nodes whose fingerprints are equal or candidates of the first round."""
-    of = written(first.groupBy("print").agg(F.min("node").alias("node"), F.min_by(F.struct("second", "size"), "node").alias("x")).select("print", "node", F.lit(0).alias("known"), "x.*"))
+    of = written(first.groupBy("print").agg(F.min("node").alias("node"), F.min_by(F.struct("second", "size"), "node").alias("x")).select("print", "node", F.lit(0).alias("known"), "x.*"), files=files)
     end = lambda name: of.select(F.col("print").alias(name), F.col("node").alias(f"node_{name}"))
     near = candidates(of, len(_halves()) // SCOUTS).join(end("a"), "a").join(end("b"), "b").select("node_a", "node_b")
     equal = first.select("print", "node").join(of.select("print", F.col("node").alias("least")), "print").where("node <> least").select("least", "node")
@@ -275,6 +282,7 @@ def fingerprints(text: Column, words: int) -> Column:
                 sizes.append(len(distinct))
                 nodes.append(xxhash.xxh64_intdigest(distinct.tobytes(), SEED))
             yield pa.StructArray.from_arrays([pa.array(prints, pa.int64()), pa.array(seconds, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(nodes, np.uint64).view(np.int64))], names=["print", "second", "size", "node"])
+        give_back()
 
     return run(text)
 
@@ -324,6 +332,7 @@ def shingle_set(text: Column, words: int) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array([packed(shingles_of(t.as_py(), words)) for t in texts], pa.binary())
+        give_back()
 
     return run(text)
 
@@ -340,6 +349,7 @@ def sketch(text: Column, words: int) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array([sketch_of(shingles_of(t.as_py(), words)) for t in texts], pa.binary())
+        give_back()
 
     return run(text)
 
@@ -354,6 +364,7 @@ def jaccard(a: Column, b: Column) -> Column:
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 out.append(both / (len(p) + len(q) - both) if len(p) + len(q) else 1.0)
             yield pa.array(out, pa.float64())
+        give_back()
 
     return run(a, b)
 
@@ -362,8 +373,12 @@ def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
     """The shingles (sorted) that most texts share, and in about how many texts they are: ``COMMON`` at most."""
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        values, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.record_batch([pa.array(values[n > 1].view(np.int64)), pa.array(n[n > 1], pa.int64())], names=["shingle", "n"])
+        values = np.concatenate(held)
+        held.clear()  # the task's most memory is here
+        values.sort()
+        again = np.concatenate([[False], values[1:] == values[:-1], [False]])
+        first, last = np.flatnonzero(again[1:] & ~again[:-1]), np.flatnonzero(again[:-1] & ~again[1:])
+        return pa.record_batch([pa.array(values[first].view(np.int64)), pa.array(last - first + 1, pa.int64())], names=["shingle", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -376,6 +391,7 @@ def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
                     held, size = [], 0
         if held:
             yield counted(held)
+        give_back()
 
     found = texts.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 3")
     rows = found.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
@@ -398,6 +414,7 @@ def _prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, simila
 def prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """token, size, node, at: of each text (node, text) the shingles it can be found by, the size of its set, and their positions."""
     sent = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, words))
+    shrink_executors(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = sent.value
@@ -410,6 +427,7 @@ def prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
             nodes = np.repeat(part["node"].to_numpy(), n)
             at = np.concatenate([np.empty(0, np.int32), *(np.arange(k, dtype=np.int32) for k in n)])
             yield pa.record_batch([pa.array(x) for x in (tokens, sizes, nodes, at)], names=["token", "size", "node", "at"])
+        give_back()
 
     return texts.select("node", "text").mapInArrow(run, "token long, size int, node long, at int")
 
@@ -444,8 +462,8 @@ def _alike(size: np.ndarray, sketches: np.ndarray, i: np.ndarray, j: np.ndarray,
     """Whether sets with these bitmaps can have the similarity: (1 - s) / (1 + s) of the sum of their sizes is the most in which they may differ."""
     most = (1 - similarity) / (1 + similarity) * (size[i].astype(float) + size[j]) + 1e-6
     out = np.empty(len(i), bool)
-    for k in range(0, len(i), 1 << 16):
-        part = slice(k, k + (1 << 16))
+    for k in range(0, len(i), 1 << 13):
+        part = slice(k, k + (1 << 13))
         out[part] = np.bitwise_count(sketches[i[part]] ^ sketches[j[part]]).sum(1, dtype=np.int64) <= most[part]
     return out
 
@@ -518,13 +536,13 @@ def _all_pairs(similarity: float):
     return run
 
 
-def meeting(shared: DataFrame, groups: DataFrame, similarity: float, sketches: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def meeting(shared: DataFrame, groups: DataFrame, similarity: float, sketches: Callable[[DataFrame], DataFrame] | None = None, files: int | None = None) -> DataFrame:
     """a < b: pairs of nodes that share a token, are not of one group, and can have the similarity: only neighbours, or all of them. sketches: node, sketch of the given nodes."""
     rows = shared.join(groups, "node", "left").select("token", "size", "node", "at", F.coalesce("root", "node").alias("root"))
     if sketches is None:
         return rows.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(_neighbours(similarity), "a long, b long").distinct()
     apart = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
-    apart = written(apart.select("token", "n"))
+    apart = written(apart.select("token", "n"), files=files)
     few = rows.join(apart.where(F.col("n") <= FEW).select("token"), "token").select("token", F.lit(0).alias("i"), F.lit(0).alias("j"), "size", "node", "at", "root", F.lit(0).alias("block"))
     pairs = few.repartition("token").sortWithinPartitions("token", "size").mapInArrow(_all_pairs(similarity), "a long, b long")
     many = apart.where(F.col("n") > FEW).select("token", F.ceil(F.col("n") / F.when(F.col("n") > BUCKET, BUCKET // 2).otherwise(BUCKET)).cast("int").alias("n"))
@@ -541,16 +559,16 @@ def _selected(held: DataFrame, wanted: DataFrame) -> DataFrame:
     return held.where(maybe_in(held, "__rid", bitmap_of(wanted, "__rid"))).join(wanted, "__rid")
 
 
-def _texts(held: DataFrame, first: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
+def _texts(held: DataFrame, first: DataFrame, nodes: DataFrame, text: str, files: int | None = None) -> DataFrame:
     """node, text of the given nodes."""
-    wanted = written(first.join(nodes, "node").select("node", F.col("first.rid").alias("__rid")))
+    wanted = written(first.join(nodes, "node").select("node", F.col("first.rid").alias("__rid")), files=files)
     return _selected(held.select("__rid", F.col(text).alias("text")), wanted)
 
 
-def _verified(held: DataFrame, first: DataFrame, near: DataFrame, words: int, similarity: float, text: str) -> DataFrame:
+def _verified(held: DataFrame, first: DataFrame, near: DataFrame, words: int, similarity: float, text: str, files: int | None = None) -> DataFrame:
     """The pairs of near whose sets have the similarity. Sets are made of the texts that are asked for only."""
     ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = written(_texts(held, first, ends, text).select("node", shingle_set(F.col("text"), words).alias("set")))
+    sets = written(_texts(held, first, ends, text, files).select("node", shingle_set(F.col("text"), words).alias("set")))
     of = lambda end: sets.select(F.col("node").alias(end), F.col("set").alias(f"set_{end}"))
     return near.join(of("a"), "a").join(of("b"), "b").where(jaccard(F.col("set_a"), F.col("set_b")) >= similarity).select("a", "b")
 
@@ -562,32 +580,36 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     docs = docs.toDF(*(f"c{i}" for i in range(len(columns))))  # no name of the input meets one in use here
     marked = docs.withColumn("__rid", F.monotonically_increasing_id()).withColumn("__prints", fingerprints(F.col(text), words))
     held = written(marked)
+    files = files_for(held, *FEW_ROWS)
     ids = held.select("__rid", "__prints.*", F.struct(F.col(doc_id).isNull().alias("no"), F.col(doc_id).alias("id"), F.col("__rid").alias("rid")).alias("order"))
-    first = written(ids.groupBy("node").agg(F.min("order").alias("first"), F.min_by(F.struct("print", "second", "size"), "order").alias("x")).select("node", "first", "x.*"))
+    first = written(ids.groupBy("node").agg(F.min("order").alias("first"), F.min_by(F.struct("print", "second", "size"), "order").alias("x")).select("node", "first", "x.*"), files=files)
     known, tried = None, None
 
     def connect(near: DataFrame) -> DataFrame:
         """Lets pairs that have the similarity connect their groups: node, root."""
         nonlocal known, tried
-        near = written(near.join(tried, ["a", "b"], "left_anti") if tried else near)
-        verified = written(_verified(held, first, near, words, similarity, text))
+        near = written(near.join(tried, ["a", "b"], "left_anti") if tried else near, files=files)
+        shrink_executors(docs.sparkSession)
+        verified = written(_verified(held, first, near, words, similarity, text, files), files=files)
         tried = tried.unionAll(near) if tried else near
         known = known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(verified) if known else verified
-        known = written(components(known))
+        known = components(known, files=files)
         collect_garbage(docs.sparkSession)
+        shrink_executors(docs.sparkSession)
         return known
 
-    groups = connect(scouted(first))
+    groups = connect(scouted(first, files))
     firsts = bitmap_of(first.select(F.col("first.rid").alias("__rid")), "__rid")
     texts = held.where(maybe_in(held, "__rid", firsts)).select(F.col("__prints.node").alias("node"), F.col(text).alias("text"))
-    shared = written(prefixes(texts, words, similarity).repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(_met, "token long, size int, node long, at int"))
+    shared = written(prefixes(texts, words, similarity).repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(_met, "token long, size int, node long, at int"), files=files_for(held, *MANY))
     collect_garbage(docs.sparkSession)
-    sketches = lambda nodes: written(_texts(held, first, nodes, text).select("node", sketch(F.col("text"), words).alias("sketch")))
+    shrink_executors(docs.sparkSession)
+    sketches = lambda nodes: written(_texts(held, first, nodes, text, files).select("node", sketch(F.col("text"), words).alias("sketch")))
     for made in (None, sketches):
-        groups = connect(meeting(shared, groups, similarity, made))
+        groups = connect(meeting(shared, groups, similarity, made, files))
     grouped = first.join(groups, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     stays = grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("__rid"))
-    goes = written(ids.select("__rid").join(stays, "__rid", "left_anti"))
+    goes = written(ids.select("__rid").join(stays, "__rid", "left_anti"), files=files)
     tested = held.withColumn("__suspect", maybe_in(held, "__rid", bitmap_of(goes, "__rid")))
     kept = tested.where("NOT __suspect").unionByName(tested.where("__suspect").join(goes, "__rid", "left_anti").select(*tested.columns))
     return kept.select(*docs.columns).toDF(*columns)

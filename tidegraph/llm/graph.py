@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 from tidegraph.llm.common import collect_garbage, drop_written, written
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, root of every node that has a link to another; root: the smallest node that can be reached."""
-    edges = written(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct())
+def components(links: DataFrame, a: str = "a", b: str = "b", files: int | None = None) -> DataFrame:
+    """node, root of every node that has a link to another; root: the smallest node that can be reached. files: of a round's table at most."""
+    edges = written(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct(), files=files)
     before, rounds = None, 0
     while True:
         rounds += 1
         if rounds % 3 == 0:
             collect_garbage(links.sparkSession)
-        after = written(_small_star(_large_star(edges)))
+        after = written(_small_star(_large_star(edges)), files=files)
         drop_written(edges)
         edges = after
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

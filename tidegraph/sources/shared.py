@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,11 +29,15 @@ def shared_folder(spark: SparkSession) -> str:
 _made: list[str] = []
 
 
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """The same rows as a Parquet table in the shared folder: no lineage, a size the planner knows. Goes as the application ends."""
+def written(df: DataFrame, codec: str = "zstd", files: int | None = None) -> DataFrame:
+    """The same rows as a Parquet table in the shared folder: no lineage, a size the planner knows. Goes as the application ends.
+
+    files: at most so many, for tables of few rows after shuffles of many partitions. On a local file system Hadoop starts three processes
+    for each file, and an executor's memory counts twice while it does.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidegraph-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    (df.coalesce(files) if files else df).write.option("compression", codec).parquet(path)
     _made.append(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
@@ -61,6 +66,14 @@ def collect_garbage(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def shrink_executors(spark: SparkSession) -> None:
+    """Lets every executor collect its garbage, after which its heap shrinks: the pages of many small sorts make it grow to its limit, and it stays there."""
+    sc = spark.sparkContext
+    if sc.master != "local" and not sc.master.startswith("local["):
+        n = sc.defaultParallelism
+        spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def drop_written(df: DataFrame) -> None:
     """Deletes the files of a table that written() made and nothing reads any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
